@@ -186,6 +186,8 @@ class QualityRules:
             order = np.lexsort((*x.T, good))  # rows arrive in any order
             x, good = x[order], good[order]
             if good.any() and not good.all():
+                self.excess = Excess(x, good)
+                x = self.excess(x)
                 self.forest.fit(x, np.where(good, (1 - self.bad_share) / good.sum(), self.bad_share / (~good).sum()))
                 self.threshold = calibrate(self.forest.score(x), good, self.most_lost)
         return self
