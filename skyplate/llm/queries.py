@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontamination, html_text, pii, sentencepiece, simhash, substring
 from .common import fold, table
 from .language_id import LanguageId
 from .line_crf import LineCrf
@@ -14,6 +15,10 @@ from .quality_rules import QualityRules
 from .toxicity import Toxicity
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return QualityRules().fit(docs, table(spark, sf_dir, "labels")).apply(docs)
@@ -24,18 +29,38 @@ def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LineCrf().fit(docs, table(spark, sf_dir, "labels").where(~held)).apply(docs).withColumn("held_out", held)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2
     return LanguageId().fit(docs, ~held).apply(docs).withColumn("held_out", held)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2
     return Toxicity().fit(docs, table(spark, sf_dir, "labels").where(~held)).apply(docs).withColumn("held_out", held)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(substring.dedup(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_quality_crf, op6_language_id, op8_toxicity)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_quality_crf, op4_simhash, op5_sentencepiece, op6_language_id, op7_decontamination, op8_toxicity, op9_pii, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
