@@ -676,9 +676,62 @@ def text_gates(spark: SparkSession, d: str) -> DataFrame:
     return detect.gate_text(table(spark, d, "documents").select("source", marked.alias("text")), ["source"], "text")
 
 
+@query(f"{with_sql('stream')} SELECT page, stream_no, CAST(x AS DOUBLE) AS x1, CAST(x + w AS DOUBLE) AS x2, ((CAST(trunc(degrees(atan2(h, w))) AS BIGINT) % 180) + 180) % 180 AS slope FROM stream WHERE sqrt(w * w + h * h) >= 35")
+def graticule_lines(spark: SparkSession, d: str) -> DataFrame:
+    t = F.format_string("q 1 0 0 1 %d %d cm\n0 0 m\n1 1 l\n%d %d l\nS\nQ", "x", "y", "w", "h")
+    rows = relation(spark, d, "stream").select("page", "stream_no", t.alias("content"))
+    found = detect.hits(rows, ["page", "stream_no"], "content", detect.GRATICULE[1])
+    return found.select("page", "stream_no", "x1", "x2", F.col("slope").cast("bigint"))
+
+
+@query(f"{with_sql('stream')} SELECT page, stream_no, CAST(x AS VARCHAR) || '-' || CAST(y AS VARCHAR) AS text, CAST(least(x, y) AS DOUBLE) AS x_min, CAST(greatest(x, y) AS DOUBLE) AS x_max FROM stream")
+def shown_text_groups(spark: SparkSession, d: str) -> DataFrame:
+    t = F.format_string("BT\n1 0 0 1 %d 9 Tm\n(%d) Tj\n1 0 0 1 %d 9 Tm\n( \\260%d) Tj\nET", "x", "x", "y", "y")
+    rows = relation(spark, d, "stream").select("page", "stream_no", t.alias("content"))
+    return detect.text_groups(rows, ["page", "stream_no"], "content").select("page", "stream_no", "text", "x_min", "x_max")
+
+
+@query(f"{with_sql('stream')} SELECT page, stream_no, x, y FROM stream s WHERE EXISTS (SELECT 1 FROM stream m WHERE m.page = s.page AND m.x = s.x AND m.y = s.y AND m.w > 25)")
+def mask_filter(spark: SparkSession, d: str) -> DataFrame:
+    rows = relation(spark, d, "stream").select("page", "stream_no", F.col("x").alias("px"), F.col("y").alias("py"), "w")
+    out = detect.masked(rows, rows.select("page", "px", "py", (F.col("w") > 25).alias("keep")), ["page"])
+    return out.select("page", "stream_no", F.col("px").alias("x"), F.col("py").alias("y"))
+
+
 # ---- sources and sinks
 
 
+@query(f"{with_sql('cat')} SELECT rec_id, faa_code || '/' || pdf_name AS path FROM cat WHERE pdf_name NOT ILIKE '%deleted%'")
+def download_paths(spark: SparkSession, d: str) -> DataFrame:
+    cat = relation(spark, d, "cat")
+    return catalog_source.download_list(cat).join(cat.select("rec_id", "pdf_name"), "pdf_name").select("rec_id", "path")
+
+
+@query("SELECT o_orderkey AS pdf_name, CASE WHEN o_orderkey % 3 = 0 THEN 'saved' ELSE 'detected' END AS source FROM orders WHERE o_orderkey % 2 = 0")
+def resume_points(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("pdf_name"))
+    return charts.resume_points(o.where("pdf_name % 2 = 0"), o.where("pdf_name % 3 = 0").withColumn("source", F.lit("saved")), o.withColumn("source", F.lit("detected")))
+
+
+@query("SELECT p_partkey, round(-(CAST(p_size AS DOUBLE) + CAST(p_partkey % 60 AS DOUBLE) / 60), 6) AS lon, round(40 + CAST(p_size AS DOUBLE) / 60, 6) AS lat, p_partkey % 40 + 100 BETWEEN 118 AND 136 AS vhf FROM part")
+def typed_points(spark: SparkSession, d: str) -> DataFrame:
+    point = text.parse_typed_point(F.format_string("%d-%d.0W,40-%d.0N", "p_size", F.col("p_partkey") % 60, "p_size"))
+    vhf = text.is_vhf(F.format_string("%d.5", F.col("p_partkey") % 40 + 100))
+    return rounded(table(spark, d, "part").select("p_partkey", point["lon"].alias("lon"), point["lat"].alias("lat"), vhf.alias("vhf")), 6, "lon", "lat")
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE p_type NOT ILIKE '%H%' AND p_type NOT ILIKE '%W%'")
+def land_runways(spark: SparkSession, d: str) -> DataFrame:
+    return relational.land_runways(table(spark, d, "part"), "p_type").select("p_partkey", "p_type")
+
+
+@query("SELECT o_orderkey AS pdf_name, CASE WHEN o_orderkey % 4 = 0 THEN 'noText' ELSE 'noPoints' END AS reason FROM orders WHERE o_orderkey % 2 = 0")
+def failure_list(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(k.alias("pdf_name"), F.when(k % 4 == 0, "noText").when(k % 2 == 0, "noPoints").alias("why"))
+    return charts.failures(rows, "pdf_name", "why")
+
+
 @query("SELECT r_name AS state_id, CAST(r_regionkey AS VARCHAR) AS tpp_volume, n_name AS faa_code, CAST(n_nationkey AS VARCHAR) AS chart_seq, 'IAP' AS chart_code, n_name || '.PDF' AS pdf_name, '2401' AS tpp_cycle FROM nation JOIN region ON n_regionkey = r_regionkey")
 def xml_flatten(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -86,3 +86,13 @@ def assert_equal(df: DataFrame, column: str, wanted: str) -> DataFrame:
     """The rows, or an error when executed if one has another value."""
     message = F.concat(F.lit(f"{column} is "), F.coalesce(F.col(column).cast("string"), F.lit("null")), F.lit(f", not {wanted}"))
     return df.where(F.coalesce(F.assert_true(F.coalesce(F.col(column) == wanted, F.lit(False)), message).cast("string"), F.lit("")) == "")
+
+
+def land_runways(df: DataFrame, ident: str) -> DataFrame:
+    """Runways on land: identifiers with H (helipads) or W (water) are left out; null stays out."""
+    return df.where(~F.col(ident).rlike("(?i)[HW]"))
+
+
+def usable_navaids(df: DataFrame, kind: str) -> DataFrame:
+    """VORs of all kinds and NDBs, without test facilities."""
+    return df.where(like_any(F.col(kind), "%VOR%", "%NDB%") & ~F.col(kind).rlike("VOT"))

@@ -58,3 +58,13 @@ def attach(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
     """Names for frames of several databases, so that one SQL statement can join them."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
+
+
+def append_rows(df: DataFrame, table: str) -> None:
+    """Append by column name; a failed job leaves the table as it was."""
+    df.write.mode("append").saveAsTable(table)
+
+
+def replace_table(df: DataFrame, table: str) -> None:
+    """Full refresh: the new rows take the table's place once they are all written."""
+    df.write.mode("overwrite").saveAsTable(table)

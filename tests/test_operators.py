@@ -140,3 +140,23 @@ def test_rollover_order_and_stream(spark, tmp_path):
     run = follow_cycles(stream, lambda: old, lambda df, n: stored.update({n: {tuple(r) for r in df.collect()}}), columns)
     run.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert set().union(*stored.values()) == want
+
+
+def test_one_cycle(spark):
+    from skyplate.plans.cycle import run_cycle
+
+    cat = spark.createDataFrame([("a", "IAP", "C"), ("b", "APD", ""), ("c", "IAP", "A")], "pdf_name string, chart_code string, user_action string").withColumn("tpp_cycle", F.lit("2401"))
+    old = spark.createDataFrame([("a", 1.0, "AUTOGOOD"), ("b", 2.0, "MANUALGOOD")], "pdf_name string, x double, status string")
+    estimate = lambda work: work.select("pdf_name", F.lit(9.0).alias("x"), F.lit("AUTOGOOD").alias("status"))
+    got = {tuple(r) for r in run_cycle(cat, "2401", old, ["x", "status"], estimate).collect()}
+    assert got == {("a", 9.0, "AUTOGOOD"), ("b", 2.0, "MANUALGOOD"), ("c", 9.0, "AUTOGOOD")}
+
+
+def test_tables_are_appended_and_replaced(spark):
+    df = spark.range(3).withColumn("v", F.lit("x"))
+    catalog.replace_table(df, "cycle_rows")
+    catalog.append_rows(df, "cycle_rows")
+    assert spark.table("cycle_rows").count() == 6
+    catalog.replace_table(df, "cycle_rows")
+    assert spark.table("cycle_rows").count() == 3
+    spark.sql("DROP TABLE cycle_rows")
