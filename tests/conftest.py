@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,7 +12,7 @@ sys.path.insert(0, ROOT)
 def spark():
     from skyplate.session import session
 
-    s = session("local[4]", 4, **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.warehouse.dir": "/tmp/skyplate-warehouse"})
+    s = session("local[4]", 4, **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="warehouse-")})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
