@@ -34,6 +34,8 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 #: Elements that hold no article text, and words of a class, id or role that mark such parts.
 DROPPED = frozenset("nav footer aside form button head object audio video canvas map datalist dialog menu".split()) | RAW
 MARKED = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidebars menu menubar nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond reply replies share sharing social related recommended recommendations widget pagination pager skip toolbar masthead complementary contentinfo search".split())
+#: Words beside which a marked one only tells of a layout: a page "with sidebar" is no sidebar.
+LAYOUT = frozenset("with has no without layout".split())
 #: Elements that an opening tag of the key closes, up to the nearest of the fences.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCES = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
@@ -52,24 +54,25 @@ class Node:
         self.density = self.total = 0.0
 
 
-def dropped(tag: str, attrs: str, inside_article: bool) -> bool:
+def dropped(tag: str, attrs: str, inside_article: bool, by_name: bool = True) -> bool:
     if tag in DROPPED or (tag == "header" and not inside_article):
         return True
-    if attrs:
+    if attrs and by_name:
         if HIDDEN.search(attrs) and tag not in ("html", "body"):
             return True
         if tag not in ("html", "body", "article", "main"):
             for m in NAMED.finditer(attrs):
-                names = (m[1] or m[2] or m[3] or "").lower()
-                if not MARKED.isdisjoint(WORDS.findall(names)):
-                    return True
+                for name in (m[1] or m[2] or m[3] or "").lower().split():
+                    words = WORDS.findall(name)
+                    if not MARKED.isdisjoint(words) and LAYOUT.isdisjoint(words):
+                        return True
         elif tag == "article" and not {"comment", "comments", "ad", "ads", "advert", "related", "promo"}.isdisjoint(w for m in NAMED.finditer(attrs) for w in WORDS.findall((m[1] or m[2] or m[3] or "").lower())):
             return True
     return False
 
 
-def parse(page: str) -> Node:
-    """The tree of a page; parts of a node are its texts and child nodes in page order. Dropped parts have no nodes."""
+def parse(page: str, by_name: bool = True) -> Node:
+    """The tree of a page; parts of a node are its texts and child nodes in page order. Dropped parts have no nodes. by_name: class, id and role count too."""
     root = node = Node("html", None, False)
     open_tags: list[str] = ["html"]
     at, skip, articles = 0, 0, 0
@@ -144,7 +147,7 @@ def parse(page: str) -> Node:
         articles += tag in ("article", "main")
         if skip:
             continue
-        if dropped(tag, attrs, articles > 0):
+        if dropped(tag, attrs, articles > 0, by_name):
             node.parts.append("\n" if tag in BLOCK else " ")
             skip = len(open_tags)
             continue
@@ -252,7 +255,10 @@ def blocks(roots: list[Node]) -> list[str]:
 
 
 def extract(page: str) -> str:
-    return "\n".join(blocks(select(measure(parse(page.replace("\0", ""))))))
+    page = page.replace("\0", "")
+    text = "\n".join(blocks(select(measure(parse(page)))))
+    # a page all of whose text stands under a marked name is read by its elements alone
+    return text or "\n".join(blocks(select(measure(parse(page, by_name=False)))))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

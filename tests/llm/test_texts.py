@@ -27,6 +27,8 @@ from skyplate.llm.sentencepiece import MODEL, Vocabulary
         ("<article><p>a < b and c > d</p><!-- <p>hidden</p> --></article>", "a < b and c > d"),
         ("<article><p>unclosed", "unclosed"),
         ("</p></div></article>", ""),
+        ("<div class='page with-sidebar'><p>text of the page</p><div id='sidebar-2'>s</div></div>", "text of the page"),
+        ("<div class='comment'><p>all there is</p></div>", "all there is"),
     ],
 )
 def test_pages(page, text):
