@@ -52,7 +52,7 @@ class Toxicity:
     """sample: most labelled rows per label value. most_features: most features, by chi square, that the model holds.
     penalty: weight of squared score changes under a swap of identity terms. ridge: L2 penalty."""
 
-    def __init__(self, sample: int = 3000, most_features: int = 20_000, least_chi2: float = 12.0, penalty: float = 10.0, ridge: float = 2e-4, rounds: int = 400, seed: int = 13, identity: tuple = IDENTITY):
+    def __init__(self, sample: int = 3000, most_features: int = 20_000, least_chi2: float = 6.0, penalty: float = 10.0, ridge: float = 2e-4, rounds: int = 400, seed: int = 13, identity: tuple = IDENTITY):
         self.sample, self.most_features, self.least_chi2, self.penalty, self.ridge, self.rounds, self.seed = sample, most_features, least_chi2, penalty, ridge, rounds, seed
         self.swap = swaps(identity)
         self.names: list[str] = []
