@@ -392,16 +392,15 @@ s AS (SELECT *, CASE WHEN uy AND band THEN r_y END AS ry, CASE WHEN ux AND dx *
 
 @query(_K3 + """, e AS (SELECT *, lat + py * ry AS ul_y, lat - abs(height - py) * ry AS lr_y, lon - px * rx AS ul_x, lon + abs(width - px) * rx AS lr_x FROM s),
 f AS (SELECT *, coalesce(ul_x <> 0 AND ul_y <> 0 AND lr_x <> 0 AND lr_y <> 0 AND abs((ul_x - lr_x) / nullif(ul_y - lr_y, 0)) - ((((((0.000000000065 * airport_lat - 0.000000010206) * airport_lat + 0.000000614793) * airport_lat - 0.000014000833) * airport_lat + 0.000124430097) * airport_lat + 0.003297052219) * airport_lat + 0.618729977577) < .09, FALSE) AS twice FROM e)
-SELECT pdf_name, series, sum(n) AS n, round(sum(n * v), 5) AS total FROM (SELECT pdf_name, 1 + CAST(twice AS INTEGER) AS n, unnest(['x', 'y', 'ul_x', 'ul_y', 'lr_x', 'lr_y']) AS series, unnest([rx, ry, ul_x, ul_y, lr_x, lr_y]) AS v FROM f) WHERE v IS NOT NULL GROUP BY ALL""")
+SELECT pdf_name, series, CAST(sum(n) AS BIGINT) AS n, round(sum(n * v), 5) AS total FROM (SELECT pdf_name, 1 + CAST(twice AS INTEGER) AS n, unnest(['x', 'y', 'ul_x', 'ul_y', 'lr_x', 'lr_y']) AS series, unnest([rx, ry, ul_x, ul_y, lr_x, lr_y]) AS v FROM f) WHERE v IS NOT NULL GROUP BY ALL""")
 def pairwise_scales(spark: SparkSession, d: str) -> DataFrame:
     s = pairwise.samples(pairwise.gcp_pairs(relation(spark, d, "gcp"), "pdf_name", "key"), "pdf_name", "key")
-    return s.groupBy("pdf_name", "series").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"), F.round(F.sum("value"), 5).alias("total"))
+    return s.groupBy("pdf_name", "series").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 5).alias("total"))
 
 
-@query(_K3 + " SELECT pdf_name, key, sum(bad) AS n_mismatches FROM (SELECT pdf_name, ki AS key, bad FROM s UNION ALL SELECT pdf_name, kj, bad FROM s) WHERE bad > 0 GROUP BY ALL")
+@query(_K3 + " SELECT pdf_name, key, CAST(sum(bad) AS BIGINT) AS n_mismatches FROM (SELECT pdf_name, ki AS key, bad FROM s UNION ALL SELECT pdf_name, kj, bad FROM s) WHERE bad > 0 GROUP BY ALL")
 def mismatch_counts(spark: SparkSession, d: str) -> DataFrame:
-    out = pairwise.mismatches(pairwise.gcp_pairs(relation(spark, d, "gcp"), "pdf_name", "key"), "pdf_name", "key")
-    return out.withColumn("n_mismatches", F.col("n_mismatches").cast("decimal(38,0)"))
+    return pairwise.mismatches(pairwise.gcp_pairs(relation(spark, d, "gcp"), "pdf_name", "key"), "pdf_name", "key")
 
 
 @query()
@@ -437,7 +436,7 @@ def acceptance(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{with_sql('icon', 'box', 'lines')}, k AS (SELECT * FROM icon WHERE NOT EXISTS (SELECT 1 FROM lines WHERE lines.page = icon.page AND line_id % 7 = 0 AND sqrt((ix - x1) * (ix - x1) + (iy - y1) * (iy - y1)) <= 30)),
 p AS (SELECT k.page, icon_id, box_id, icon_type, db_type, ix, iy, sqrt((ix - bx) * (ix - bx) + (iy - by_) * (iy - by_)) AS dist FROM k JOIN box ON k.page = box.page WHERE sqrt((ix - bx) * (ix - bx) + (iy - by_) * (iy - by_)) <= 115),
 a AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY page, icon_id ORDER BY dist, CAST(box_id AS VARCHAR) DESC) = 1), b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY page, box_id ORDER BY dist, CAST(icon_id AS VARCHAR) DESC) = 1)
-SELECT a.page AS pdf_name, concat('navaid-', CAST(a.box_id AS VARCHAR), '-', CAST(a.icon_id AS VARCHAR)) AS gcp_key, round(a.ix * 2, 5) AS px, round(2475 - a.iy * 3, 5) AS py, 40.5 + a.box_id % 10 AS lat FROM a JOIN b ON a.icon_id = b.icon_id AND a.box_id = b.box_id WHERE (a.icon_type NOT LIKE '%VOR%' OR a.icon_type = a.db_type) AND a.ix <> 0 AND a.iy <> 0""")
+SELECT a.page AS pdf_name, concat('navaid-', CAST(a.box_id AS VARCHAR), '-', CAST(a.icon_id AS VARCHAR)) AS gcp_key, round(a.ix * 2, 5) AS px, round(2475 - a.iy * 3, 5) AS py, CAST(40.5 + a.box_id % 10 AS DOUBLE) AS lat FROM a JOIN b ON a.icon_id = b.icon_id AND a.box_id = b.box_id WHERE (a.icon_type NOT LIKE '%VOR%' OR a.icon_type = a.db_type) AND a.ix <> 0 AND a.iy <> 0""")
 def chart_control_points(spark: SparkSession, d: str) -> DataFrame:
     icons = relation(spark, d, "icon").withColumnRenamed("page", "pdf_name")
     box = relation(spark, d, "box").withColumnRenamed("page", "pdf_name").withColumn("text", F.col("box_id").cast("string"))
@@ -515,7 +514,7 @@ def export_world_files(spark: SparkSession, d: str) -> DataFrame:
     return export.world_files(charts_).groupBy("pdf_name", "file", "body").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT o_orderkey AS pdf_name, CASE WHEN o_orderkey % 3 = 0 THEN 1.5 END AS x_median, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderstatus = 'F' THEN 0.0 ELSE 0.25 END END AS x_skew FROM orders")
+@query("SELECT o_orderkey AS pdf_name, CASE WHEN o_orderkey % 3 = 0 THEN CAST(1.5 AS DOUBLE) END AS x_median, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderstatus = 'F' THEN CAST(0 AS DOUBLE) ELSE CAST(0.25 AS DOUBLE) END END AS x_skew FROM orders")
 def transform_update(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("pdf_name"), F.when(F.col("o_orderstatus") == "F", "IAP").otherwise("APD").alias("chart_code"))
     empty = o.select("pdf_name", *(F.lit(None).cast("double").alias(c) for c in rollover.TRANSFORM))
