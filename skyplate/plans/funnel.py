@@ -49,8 +49,9 @@ def conditions() -> tuple[dict[str, Column], dict[str, Column]]:
 def funnel(catalog: DataFrame, results: DataFrame) -> DataFrame:
     """One row with the 22 counts."""
     alone, joined = conditions()
-    left = catalog.agg(*counts(alone))
-    right = catalog_join(catalog, results).agg(*counts(joined))
+    charts = catalog.where(F.col("chart_code").isin("IAP", "APD") & not_deleted(F.col("pdf_name")))  # what every count asks for
+    left = charts.agg(*counts(alone))
+    right = catalog_join(charts, results).agg(*counts(joined))
     return left.crossJoin(right)  # one row each
 
 
