@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import logistic, materialize, texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban", "secret", "ssn")
+#: Order of kinds in a list of spans: the base kinds, then those that only the method adds.
+KINDS = (*BASE_KINDS, "iban", "secret", "ssn")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DIGIT = re.compile(r"[0-9]")
@@ -34,6 +35,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 #: A maximal run of 16 digits or more is the same with or without the lower bound.
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){15,}")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: A telephone number in a common grouping. The base pattern takes digits that follow for a part of it, and then fails as a whole.
+GROUPED = re.compile(r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])")
 TOKEN = re.compile(r"(?<!\S)[^\s0-9]*[0-9]\S*")
 LEFT, RIGHT = "\"'([{<`", ".,;:!?)]}>\"'`"
 NOT_DIGIT = re.compile(r"[^0-9]")
@@ -78,11 +81,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, tuple[int, ...], tuple[int, ...]]]:
-    """(start, end, kind, votes, features) of each token with a digit that overlaps no base span."""
+    """(start, end, kind, votes, features) of each grouped telephone number and each token with a digit that overlap no base span and no other candidate."""
     if not DIGIT.search(text):
         return []
     taken = sorted((s, e) for _, s, e in base)
     out, at = [], 0
+    if "+" in text:
+        grouped = [m.span() for m in GROUPED.finditer(text)]
+        grouped = [(s, e) for s, e in grouped if not any(a < e and s < b for a, b in taken)] if grouped else []
+        out = [(s, e, *judge(text[s:e], "", text[max(0, s - 24) : s], False, False, "phone")) for s, e in grouped]
+        taken = sorted(taken + grouped)
     for m in TOKEN.finditer(text):
         start, end = m.span()
         while at < len(taken) and taken[at][1] <= start:
@@ -105,8 +113,10 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
-def judge(token: str, key: str, before: str, quoted: bool, assigned: bool) -> tuple[str, tuple[int, ...], tuple[int, ...]]:
-    kind = next((k for k, p in KNOWN if p.fullmatch(token)), "")
+def judge(token: str, key: str, before: str, quoted: bool, assigned: bool, kind: str = "") -> tuple[str, tuple[int, ...], tuple[int, ...]]:
+    kind = kind or next((k for k, p in KNOWN if p.fullmatch(token)), "")
+    if not kind and 13 <= len(token) <= 19 and token.isascii() and token.isdigit() and luhn(token):
+        kind = "card"
     pattern = 1 if kind else 0 if PLAIN.fullmatch(token) else -1
     near = WORD.findall(f"{before} {key}".lower())[-3:]
     named = any(w in SECRET_WORDS for w in near)
@@ -114,7 +124,7 @@ def judge(token: str, key: str, before: str, quoted: bool, assigned: bool) -> tu
     assigned = assigned or before.rstrip()[-1:] in ("=", ":")
     context = 1 if assigned and (quoted or named) else 0 if not assigned and not quoted else -1
     switches, digits = len(SWITCH.findall(token)), len(NOT_DIGIT.sub("", token))
-    shape = 1 if switches >= 3 and len(token) >= 12 else 0 if len(token) < 8 or digits == len(token) else -1
+    shape = 1 if (switches >= 3 and len(token) >= 12) or kind in BASE_KINDS else 0 if len(token) < 8 or digits == len(token) else -1
     features = (min(len(token) // 4, 6), min(4 * digits // len(token), 3), min(switches, 4), int(token != token.lower()), int(assigned), int(quoted), int(named), int(bool(kind)))
     return kind or "secret", (pattern, gazetteer, context, shape), features
 
@@ -234,7 +244,7 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """id, n_<kind> of each base kind, base_sha256, spans (all spans as kind:start:end, base kinds first)."""
+    """id, n_<kind> of each base kind, base_sha256, spans (all spans as kind:start:end, by kind in the order of KINDS, then start)."""
     found = materialize(find(docs, id_col, text_col), "pii-spans")
     one = F.explode("spans").alias("s")
     model = fit_counts(found.select(one).where("s.votes >= 0").groupBy("s.votes", "s.features").agg(F.count(F.lit(1)).alias("n")))
@@ -248,18 +258,22 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
                 for k, _, _ in base:
                     counts[BASE_KINDS.index(k), i] += 1
                 hashes.append(hashlib.sha256(digest(base).encode()).hexdigest())
-                all_spans.append(digest(base + chosen(spans, model, threshold)))
+                all_spans.append(digest(in_order(base + chosen(spans, model, threshold))))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(hashes, type=pa.string()), pa.array(all_spans, type=pa.string())], names=[id_col, *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
 
     return found.mapInArrow(decide, f"`{id_col}` {kind}, " + ", ".join(f"n_{k} bigint" for k in BASE_KINDS) + ", base_sha256 string, spans string")
 
 
+def in_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))
+
+
 def chosen(spans: list[dict], model: SpanModel, threshold: float) -> list[tuple[str, int, int]]:
     more = [s for s in spans if s["votes"] >= 0]
     if not more:
         return []
     p = model.probability(np.array([decode(s["features"], WIDTHS) for s in more], dtype=np.int64))
-    return sorted((s["kind"], s["start"], s["end"]) for s, x in zip(more, p, strict=True) if x >= threshold)
+    return [(s["kind"], s["start"], s["end"]) for s, x in zip(more, p, strict=True) if x >= threshold]
 
 
 def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -175,6 +175,15 @@ def test_labelers_find_secrets_and_leave_versions(spark):
     assert clean[139] == "plain words only"
 
 
+def test_numbers_that_the_base_patterns_run_together(spark):
+    text = "call +1 (269) 555-3296 4111111111111111 and go"
+    assert pii.base_spans(text) == []
+    df = spark.createDataFrame([(k, text if k % 3 == 0 else f"section {k} of the book, page {k + 10}") for k in range(90)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_card, r.spans) for r in pii.detect(df).collect()}
+    assert got[0] == (0, "card:23:39,phone:5:22")
+    assert got[1] == (0, "")
+
+
 def test_detect_table(spark, sf_dir):
     import pandas as pd
 
@@ -184,7 +193,7 @@ def test_detect_table(spark, sf_dir):
         spans = plain_spans(r.text)
         want = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
         assert got[r.doc_id].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
-        assert got[r.doc_id].spans.startswith(want)
+        assert set(want.split(",")) - {""} <= set(got[r.doc_id].spans.split(","))
         assert got[r.doc_id].n_ip == sum(k == "ip" for k, _, _ in spans)
 
 
