@@ -63,5 +63,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_quality_crf, op4_simhash, op5_sentencepiece, op6_language_id, op7_decontamination, op8_toxicity, op9_pii, op10_substring_dedup)}
 
 
+#: All windows compared by their word sequences. The other operators learn, hash in a way that DuckDB lacks or segment texts.
+SUBSTRING_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x : x <> '') AS ws FROM documents),
+w AS (SELECT r, doc_id, s, array_to_string(ws[s:s + 12], ' ') AS k FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS s FROM d WHERE len(ws) >= 13)),
+f AS (SELECT k, min(doc_id) AS first FROM w GROUP BY k),
+g AS (SELECT DISTINCT r, s + o AS p FROM (SELECT r, s FROM w JOIN f USING (k) WHERE doc_id > first), (SELECT unnest(range(0, 13)) AS o)),
+t AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+l AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM t WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.r = t.r AND g.p = t.p) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN l USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_substring_dedup": SUBSTRING_SQL}
