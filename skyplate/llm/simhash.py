@@ -289,7 +289,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     """The rows, with all their columns, whose id names their component. Rows without an id stay; of rows that repeat an id, one stays."""
     found = materialize(near_duplicates(docs, id_col, text_col, threshold).select(id_col, "component_id"), "near-duplicates")
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    out = docs.join(gone, id_col, "left_anti")
+    # always the shuffled join, so that the work grows alike at every size; the ids that go grow with the documents
+    out = docs.join(gone.hint("merge"), id_col, "left_anti")
     repeated = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").limit(1).count()
     if repeated:
         some = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
