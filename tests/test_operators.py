@@ -160,3 +160,14 @@ def test_tables_are_appended_and_replaced(spark):
     catalog.replace_table(df, "cycle_rows")
     assert spark.table("cycle_rows").count() == 3
     spark.sql("DROP TABLE cycle_rows")
+
+
+def test_windowed_counts(spark, tmp_path):
+    from skyplate.streaming.cycles import status_counts
+
+    rows = [("2024-01-01 00:00:01", "a"), ("2024-01-01 00:00:59", "a"), ("2024-01-01 00:01:00", "b")]
+    spark.createDataFrame(rows, "ts string, event_type string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts string, event_type string").parquet(str(tmp_path / "in"))
+    out = status_counts(stream, "ts", "1 minute", "1 minute").writeStream.format("memory").queryName("windowed").outputMode("complete")
+    out.trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.event_type, r.n) for r in spark.table("windowed").collect()) == [("a", 2), ("b", 1)]
