@@ -52,10 +52,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
 
-def agree(left: Column, right: Column, shift: Column, start: Column, stop: Column) -> Column:
-    """1 or 0 for each word start <= i < stop of `left`: is it word i + shift of `right`?"""
-    same = F.transform(F.sequence(start, stop - 1), lambda i: (F.get(left, i) == F.get(right, i + shift)).cast("int"))
-    return F.when(stop > start, same).otherwise(F.array().cast("array<int>"))
+def aligned(wanted: Column, h: Column, shift: Column) -> Column:
+    """shift, and 1 or 0 for each word i of `wanted` that lies within h at i + shift: are the two equal?"""
+    start, stop = F.greatest(F.lit(0), -shift), F.least(F.size(wanted), F.size(h) - shift)
+    same = F.transform(F.sequence(start, stop - 1), lambda i: (F.get(wanted, i) == F.get(h, i + shift)).cast("int"))
+    return F.struct(shift.alias("shift"), F.when(stop > start, same).otherwise(F.array().cast("array<int>")).alias("same"))
+
+
+def total(flags: Column) -> Column:
+    return F.aggregate(flags, F.lit(0), lambda a, x: a + x)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -72,18 +77,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n_seeds = item_seeds.count()
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("h"))
     hits = exploded(own, long_masks + short_masks, ["doc"]).join(small(item_seeds, n_seeds), "seed")
-    hits = hits.groupBy("doc", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count(F.lit(1)).alias("n_hits"))
+    hits = hits.groupBy("doc", "item").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
     hits = materialize(hits, "benchmark-hits")
-    n_hits = hits.count()
+    n_hits = hits.agg(F.sum(F.size("shifts"))).first()[0] or 0
     lined = own.join(small(hits, n_hits), "doc").join(small(items.select("item", F.col("h").alias("wanted")), n_seeds), "item")
-    start, stop = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("wanted"), F.size("h") - F.col("shift"))
-    lined = lined.select("doc", "item", "shift", F.size("wanted").alias("n_item"), agree(F.col("wanted"), F.col("h"), F.col("shift"), start, stop).alias("same"))
-    run = F.least(F.lit(OVERLAP), F.col("n_item"))
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(F.size("same") - run, F.lit(0))), lambda i: F.aggregate(F.slice("same", i + 1, run), F.lit(0), lambda a, x: a + x)))
-    judged = lined.withColumn("best", best).withColumn("n_same", F.aggregate("same", F.lit(0), lambda a, x: a + x))
-    judged = judged.where((F.size("same") >= run) & (F.col("best") >= run - F.when(run >= OVERLAP, F.lit(SUBSTITUTIONS)).otherwise(F.lit(0))))
-    top = judged.groupBy("doc", "item").agg(F.max(F.struct("n_same", (-F.col("shift")).alias("back"), "n_item")).alias("top"))
-    return top.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), (-F.col("top.back")).alias("at"), F.col("top.n_same").cast("bigint").alias("n_same"), F.col("top.n_item").cast("bigint").alias("n_item"))
+    run = F.least(F.lit(OVERLAP), F.size("wanted"))
+    missing = F.when(run >= OVERLAP, F.lit(SUBSTITUTIONS)).otherwise(F.lit(0))
+    lines = F.transform("shifts", lambda s: aligned(F.col("wanted"), F.col("h"), s))
+    lined = lined.select("doc", "item", F.size("wanted").alias("n_item"), run.alias("run"), (run - missing).alias("least"), lines.alias("lines"))
+    best = lambda same: F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(F.size(same) - F.col("run"), F.lit(0))), lambda i: total(F.slice(same, i + 1, F.col("run")))))
+    good = F.filter("lines", lambda x: (F.size(x["same"]) >= F.col("run")) & (total(x["same"]) >= F.col("least")) & (best(x["same"]) >= F.col("least")))
+    top = F.array_max(F.transform(good, lambda x: F.struct(total(x["same"]).alias("n_same"), (-x["shift"]).alias("back"))))
+    found = lined.select("doc", "item", "n_item", top.alias("top")).where("top is not null")
+    out = found.groupBy("doc", "item").agg(F.max(F.struct("top.n_same", "top.back", "n_item")).alias("t"))
+    return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), (-F.col("t.back")).alias("at"), F.col("t.n_same").cast("bigint").alias("n_same"), F.col("t.n_item").cast("bigint").alias("n_item"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
