@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Positions that each mask compares. Whatever two words of a run of 14 are replaced, one of the masks still hits
+#: Positions that each mask compares. Whatever two words of a run of OVERLAP are replaced, one of the masks still hits
 #: somewhere in the run (tests check all pairs).
-MASKS = ((0, 1, 2, 4, 5, 6, 7), (0, 1, 2, 4, 7, 8, 9), (0, 3, 4, 5, 6, 7, 8))
+MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 2, 4, 5, 8, 9), (0, 1, 3, 6, 8, 9, 10))
 OVERLAP = 13
 SUBSTITUTIONS = 2
 LEAST = 5

@@ -131,6 +131,28 @@ def test_masks_hit_whatever_two_words_are_replaced():
         assert any(all(i + p not in sub for p in m) for m in decontamination.MASKS for i in range(14 - m[-1]))
 
 
+def test_masks_hit_in_the_shortest_run_that_counts():
+    n = decontamination.OVERLAP
+    for sub in itertools.combinations(range(n), decontamination.SUBSTITUTIONS):
+        assert any(all(i + p not in sub for p in m) for m in decontamination.MASKS for i in range(n - m[-1]))
+
+
+def test_runs_of_overlap_words_are_found_whatever_two_are_replaced(spark):
+    rnd = random.Random(16)
+    n = decontamination.OVERLAP
+    items = {0: words(rnd, n), 1: words(rnd, 40)}
+    docs = []
+    for item, start in ((0, 0), (1, 11)):
+        for sub in itertools.combinations(range(n), 2):
+            piece = items[item].split()[start : start + n]
+            for at in sub:
+                piece[at] = "SUBSTITUTE"
+            docs.append((len(docs), item, " ".join([words(rnd, 20), *piece, words(rnd, 20)])))
+    d = spark.createDataFrame([(i, t) for i, _, t in docs], "doc_id bigint, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(d, b).collect()} == {(i, k) for i, k, _ in docs}
+
+
 def leaks(spark):
     rnd = random.Random(6)
     items = {k: words(rnd, 30) for k in range(12)} | {12: "short but telling item here", 13: "too short", 14: ""}
