@@ -3,12 +3,12 @@
 Words are the lower-cased runs of letters and digits. A mask chooses some positions of a span of words; the hash of the
 words at these positions is a seed, which a substitution elsewhere in the span leaves as it is. Seeds of benchmark items
 and of documents meet in an equi-join; each hit lines an item up with a document, and word by word comparison around the
-hit decides: a run of `overlap` words (or the whole item, if that is shorter) with at most `substitutions` others.
+hit decides: a run of `overlap` words (or the whole item, if that is shorter) with at most `substitutions` others. Items
+of 5 to 9 words are found with one word replaced, as two would leave too little of them; shorter ones as they are.
 
-Contract on edge cases: a null or empty text has no words; items shorter than the masks' span are looked for as a whole
-by one contiguous seed of their length, and items below `least` words are left out as no evidence; null ids pass through
-where they are matched; repeated rows of documents are reported once per id; empty tables give an empty result; other
-columns are ignored.
+Contract on edge cases: a null or empty text has no words; items below `overlap` words are looked for as a whole, with
+the masks of their length (TIERS), and items without words are left out; null ids pass through where they are matched;
+repeated rows of documents are reported once per id; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +24,15 @@ MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 2, 4, 5, 8, 9), (0, 1, 3, 6, 8, 9, 10))
 OVERLAP = 13
 SUBSTITUTIONS = 2
 LEAST = 5
+#: From how many words on, how many of a run may be others, and the masks that hit it whichever they are. Items below
+#: LEAST words must stand in the document word for word.
+TIERS = (
+    *((n, 0, (tuple(range(n)),)) for n in range(1, LEAST)),
+    (LEAST, 1, ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4))),
+    (7, 1, ((0, 1, 2, 3, 4), (0, 1, 3, 4, 5), (0, 1, 2, 3, 5))),
+    (10, SUBSTITUTIONS, ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 1, 2, 5, 6))),
+    (OVERLAP, SUBSTITUTIONS, MASKS),
+)
 #: A table of seeds or hits of more rows than this is never broadcast.
 MOST_BROADCAST = 500_000
 
@@ -48,6 +57,11 @@ def exploded(rows: DataFrame, masks: list[tuple[int, tuple[int, ...]]], keep: li
     return inner.select(*keep, F.posexplode("s").alias("at", "seed"))
 
 
+def tier(size: Column) -> Column:
+    """The place in TIERS of an item of so many words."""
+    return F.size(F.filter(F.array(*[F.lit(t[0]) for t in TIERS]), lambda n: n <= size)) - 1
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
@@ -65,24 +79,22 @@ def total(flags: Column) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, item, at (word of the document where the item's first word lines up), n_same (equal words of that alignment), n_item (words of the item): one row for each pair that overlaps, at its best alignment."""
-    items = materialize(benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("h")).where(F.size("h") >= LEAST).dropDuplicates(["item", "h"]), "benchmark-words")
-    span = max(p[-1] for p in MASKS) + 1
-    short = [r[0] for r in items.where(F.size("h") < span).select(F.size("h")).distinct().collect()]  # at most span - LEAST lengths
-    long_masks = list(enumerate(MASKS))
-    short_masks = [(len(MASKS) + n, tuple(range(n))) for n in sorted(short)]
-    found = exploded(items.where(F.size("h") >= span), long_masks, ["item"])
-    for m, p in short_masks:
-        found = found.unionByName(exploded(items.where(F.size("h") == len(p)), [(m, p)], ["item"]))
+    items = materialize(benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("h")).where(F.size("h") > 0).dropDuplicates(["item", "h"]), "benchmark-words")
+    present = {r[0] for r in items.select(tier(F.size("h"))).distinct().collect()}  # at most len(TIERS) numbers
+    masks = {k: [(k * 10 + n, p) for n, p in enumerate(TIERS[k][2])] for k in sorted(present)}
+    found = exploded(items.limit(0), [(0, MASKS[0])], ["item"])
+    for k, m in masks.items():
+        found = found.unionByName(exploded(items.where(tier(F.size("h")) == k), m, ["item"]))
     item_seeds = materialize(found.withColumnsRenamed({"at": "item_at"}), "benchmark-seeds")
     n_seeds = item_seeds.count()
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("h"))
-    hits = exploded(own, long_masks + short_masks, ["doc"]).join(small(item_seeds, n_seeds), "seed")
+    hits = exploded(own, sum(masks.values(), []) or [(0, MASKS[0])], ["doc"]).join(small(item_seeds, n_seeds), "seed")
     hits = hits.groupBy("doc", "item").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
     hits = materialize(hits, "benchmark-hits")
     n_hits = hits.agg(F.sum(F.size("shifts"))).first()[0] or 0
     lined = own.join(small(hits, n_hits), "doc").join(small(items.select("item", F.col("h").alias("wanted")), n_seeds), "item")
     run = F.least(F.lit(OVERLAP), F.size("wanted"))
-    missing = F.when(run >= OVERLAP, F.lit(SUBSTITUTIONS)).otherwise(F.lit(0))
+    missing = F.get(F.array(*[F.lit(t[1]) for t in TIERS]), tier(F.size("wanted")))
     lines = F.transform("shifts", lambda s: aligned(F.col("wanted"), F.col("h"), s))
     lined = lined.select("doc", "item", F.size("wanted").alias("n_item"), run.alias("run"), (run - missing).alias("least"), lines.alias("lines"))
     best = lambda same: F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(F.size(same) - F.col("run"), F.lit(0))), lambda i: total(F.slice(same, i + 1, F.col("run")))))

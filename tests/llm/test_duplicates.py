@@ -153,6 +153,24 @@ def test_runs_of_overlap_words_are_found_whatever_two_are_replaced(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(d, b).collect()} == {(i, k) for i, k, _ in docs}
 
 
+def test_short_items_are_found_with_words_replaced(spark):
+    rnd = random.Random(21)
+    items, docs, want = {}, [], set()
+    for n in range(1, decontamination.OVERLAP + 1):
+        items[n] = " ".join(f"item{n}word{k}" for k in range(n))
+        allowed = 0 if n < 5 else 1 if n < 10 else 2
+        for count in (0, 1, 2):
+            for sub in itertools.combinations(range(n), count):
+                piece = items[n].split()
+                for at in sub:
+                    piece[at] = "SUBSTITUTE"
+                docs.append((len(docs), " ".join([words(rnd, 15), *piece, words(rnd, 15)])))
+                want |= {(docs[-1][0], n)} if count <= allowed else set()
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(d, b).collect()} == want
+
+
 def leaks(spark):
     rnd = random.Random(6)
     items = {k: words(rnd, 30) for k in range(12)} | {12: "short but telling item here", 13: "too short", 14: ""}
