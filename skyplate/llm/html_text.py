@@ -36,6 +36,8 @@ DROPPED = frozenset("nav footer aside form button head object audio video canvas
 MARKED = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidebars menu menubar nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond reply replies share sharing social related recommended recommendations widget pagination pager skip toolbar masthead complementary contentinfo search".split())
 #: Words beside which a marked one only tells of a layout: a page "with sidebar" is no sidebar.
 LAYOUT = frozenset("with has no without layout".split())
+#: Elements that hold one text.
+UNITS = frozenset(("article", "main"))
 #: Elements that an opening tag of the key closes, up to the nearest of the fences.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCES = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
@@ -186,9 +188,17 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def unit(n: Node) -> Node | None:
+    """The outermost article or main that n lies in, itself included."""
+    found = None
+    while n is not None:
+        found = n if n.tag in UNITS else found
+        n = n.parent
+    return found
+
+
 def select(order: list[Node]) -> list[Node]:
     """Roots of the subtrees that hold the main text, in page order."""
-    units = [n for n in order if n.tag in ("article", "main") and n.chars]
     best = max(order, key=lambda n: n.total)
     if best.total <= 0 and not best.chars:
         return []
@@ -196,15 +206,7 @@ def select(order: list[Node]) -> list[Node]:
     while n is not None:
         threshold = min(threshold, n.density)
         n = n.parent
-    if units:
-        # the unit that encloses the densest subtree is the article; else the densest unit
-        n = best
-        inside = None
-        while n is not None:
-            inside = n if n.tag in ("article", "main") else inside
-            n = n.parent
-        return [inside or max(units, key=lambda u: (u.total, u.chars))]
-    # without such elements: the densest subtree, and what stands above the threshold beside it
+    # the densest subtree, and what stands above the threshold beside it
     chosen: set[int] = set()
     stack = [order[0]]
     while stack:
@@ -218,11 +220,34 @@ def select(order: list[Node]) -> list[Node]:
             chosen.add(id(top))
         if id(n) not in chosen:
             stack.extend(p for p in n.parts if isinstance(p, Node))
-    headings = {id(n) for n in order if n.tag == "h1"}
+    units = [n for n in order if n.tag in UNITS and n.chars and unit(n) is n]
+    around: dict[int, int] = {}  # characters in units below each node that encloses some
+    for u in units:
+        n = u.parent
+        while n is not None:
+            around[id(n)] = around.get(id(n), 0) + u.chars
+            n = n.parent
+    # what lies in an article or main is lifted to it; of what consists of such elements for the most part, they are
+    # taken with the dense parts beside them
+    picked = {id(u) for n in order if id(n) in chosen and (u := unit(n)) is not None}
+    for n in order:
+        if id(n) in chosen and around.get(id(n), 0) * 2 > n.chars:
+            chosen.discard(id(n))
+            stack = [n]
+            while stack:
+                x = stack.pop()
+                if id(x) in around:
+                    stack.extend(p for p in x.parts if isinstance(p, Node))
+                elif x.tag in UNITS or (x.density >= threshold and x.chars):
+                    (picked if x.tag in UNITS else chosen).add(id(x))
+    # parts of one text are siblings; one below the average of all is no less a part, unless it is a list of links
+    parents = {id(u.parent) for u in units if id(u) in picked}
+    picked |= {id(u) for u in units if id(u.parent) in parents and u.link_chars * 2 < u.chars}
+    headings = set() if picked else {id(n) for n in order if n.tag == "h1"}
     out, stack = [], [order[0]]
     while stack:
         n = stack.pop()
-        if id(n) in chosen or id(n) in headings:
+        if id(n) in chosen or id(n) in picked or id(n) in headings:
             out.append(n)
         else:
             stack.extend(p for p in reversed(n.parts) if isinstance(p, Node))

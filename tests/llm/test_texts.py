@@ -45,6 +45,23 @@ def test_a_page_of_plain_divs():
     assert not any("link" in x for x in got)
 
 
+def prose(what, n):
+    return "".join(f"<p>{what} {k} holds a good many words of running prose about one thing.</p>" for k in range(n))
+
+
+def test_a_text_outside_the_articles_stays():
+    cards = "".join(f"<article><a href=/{k}>Card {k}</a></article>" for k in range(5))
+    got = extract(f"<body><div id=content>{prose('Paragraph', 6)}</div><div>{cards}</div></body>").split("\n")
+    assert [x.split()[:2] for x in got] == [["Paragraph", str(k)] for k in range(6)]
+
+
+@pytest.mark.parametrize("sizes", [(1, 1), (6, 2), (2, 6, 1)])
+def test_all_sibling_articles_stay(sizes):
+    parts = "".join(f"<article><h2>Part {i}</h2>{prose(f'Text{i}', n)}<p>Brief.</p></article>" for i, n in enumerate(sizes))
+    got = extract(f"<body><nav>menu</nav>{parts}<p>end</p></body>")
+    assert got == "\n".join("\n".join([f"Part {i}", *re.findall("<p>(.*?)</p>", prose(f"Text{i}", n)), "Brief."]) for i, n in enumerate(sizes))
+
+
 def test_deep_nesting_and_long_attributes_end_quickly():
     assert extract("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert extract('<a href="' + "q" * 200_000) is not None
