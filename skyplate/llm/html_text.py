@@ -36,6 +36,10 @@ DROPPED = frozenset("nav footer aside form button head object audio video canvas
 MARKED = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidebars menu menubar nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond reply replies share sharing social related recommended recommendations widget pagination pager skip toolbar masthead complementary contentinfo search".split())
 #: Words beside which a marked one only tells of a layout: a page "with sidebar" is no sidebar.
 LAYOUT = frozenset("with has no without layout".split())
+#: Of these, elements and words that mark a part beside the text, however long; others can also mark what wraps all of it.
+ASIDE_TAGS = frozenset("nav footer aside header".split())
+ASIDES = frozenset("comment comments disqus respond reply replies related recommended recommendations cookie cookies consent gdpr notice notices alert popup modal overlay newsletter".split())
+WRAPPER, ASIDE, CUT = 1, 2, 3
 #: Elements that hold one text.
 UNITS = frozenset(("article", "main"))
 #: Elements that an opening tag of the key closes, up to the nearest of the fences.
@@ -49,32 +53,35 @@ FORMATTING = frozenset("a abbr b bdi bdo big cite code em font i kbd mark q s sa
 class Node:
     __slots__ = ("tag", "parts", "parent", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "in_link")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
+    def __init__(self, tag: str, parent: Node | None, drop: int):
         self.tag, self.parent, self.drop, self.parts = tag, parent, drop, []
         self.in_link = tag == "a" or (parent is not None and parent.in_link)
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def dropped(tag: str, attrs: str, inside_article: bool, by_name: bool = True) -> bool:
+def dropped(tag: str, attrs: str, inside_article: bool, by_name: bool = True) -> int:
+    """0, or what speaks against an element: WRAPPER and ASIDE are cut unless they enclose the text, CUT always."""
     if tag in DROPPED or (tag == "header" and not inside_article):
-        return True
+        return ASIDE if tag in ASIDE_TAGS else WRAPPER if tag in ("form", "dialog", "menu") and not (by_name and HIDDEN.search(attrs)) else CUT
     if attrs and by_name:
         if HIDDEN.search(attrs) and tag not in ("html", "body"):
-            return True
+            return CUT
         if tag not in ("html", "body", "article", "main"):
+            found = 0
             for m in NAMED.finditer(attrs):
                 for name in (m[1] or m[2] or m[3] or "").lower().split():
                     words = WORDS.findall(name)
                     if not MARKED.isdisjoint(words) and LAYOUT.isdisjoint(words):
-                        return True
-        elif tag == "article" and not {"comment", "comments", "ad", "ads", "advert", "related", "promo"}.isdisjoint(w for m in NAMED.finditer(attrs) for w in WORDS.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+                        found = max(found, WRAPPER if ASIDES.isdisjoint(words) else ASIDE)
+            return found
+        if tag == "article" and not {"comment", "comments", "ad", "ads", "advert", "related", "promo"}.isdisjoint(w for m in NAMED.finditer(attrs) for w in WORDS.findall((m[1] or m[2] or m[3] or "").lower())):
+            return CUT
+    return 0
 
 
 def parse(page: str, by_name: bool = True) -> Node:
-    """The tree of a page; parts of a node are its texts and child nodes in page order. Dropped parts have no nodes. by_name: class, id and role count too."""
+    """The tree of a page; parts of a node are its texts and child nodes in page order. Parts that can be boilerplate are marked as such. by_name: class, id and role count too."""
     root = node = Node("html", None, False)
     open_tags: list[str] = ["html"]
     at, skip, articles = 0, 0, 0
@@ -149,17 +156,72 @@ def parse(page: str, by_name: bool = True) -> Node:
         articles += tag in ("article", "main")
         if skip:
             continue
-        if dropped(tag, attrs, articles > 0, by_name):
+        drop = dropped(tag, attrs, articles > 0, by_name)
+        if drop == CUT:
             node.parts.append("\n" if tag in BLOCK else " ")
             skip = len(open_tags)
             continue
-        child = Node(tag, node, False)
+        child = Node(tag, node, drop)
         node.parts.append(child)
         node = child
         depth_of.append(len(open_tags))
     return root
 
 
+def prune(root: Node) -> Node:
+    """Cut the marked parts, apart from those that enclose the page's largest article or main, or most of its text."""
+    order, stack = [], [(root, False, False)]
+    within: dict[int, tuple[bool, bool]] = {}  # lies in a part beside the text; in an article or main
+    while stack:
+        n, aside, inside = stack.pop()
+        order.append(n)
+        within[id(n)] = aside, inside
+        aside, inside = aside or n.drop == ASIDE, inside or n.tag in UNITS
+        stack.extend((p, aside, inside) for p in reversed(n.parts) if isinstance(p, Node))
+    if not any(n.drop for n in order):
+        return root
+    k = len(order)
+    text, most, end = {}, {}, {}  # characters outside links; those of the largest article or main below; end in order
+    after, before = [0] * (k + 1), [0] * (k + 1)  # largest article or main that starts, ends, by a place in order
+    for i in range(k - 1, -1, -1):
+        n = order[i]
+        below = [p for p in n.parts if isinstance(p, Node)]
+        end[id(n)] = max([i + 1, *(end[id(p)] for p in below)])
+        most[id(n)] = max([0, *(max(most[id(p)], text[id(p)] if p.tag in UNITS else 0) for p in below)])
+        own = 0 if n.in_link else sum(len("".join(p.split())) for p in n.parts if isinstance(p, str))
+        text[id(n)] = own + sum(text[id(p)] for p in below)
+        if n.drop == ASIDE and not most[id(n)]:
+            text[id(n)] = 0
+        unit_chars = text[id(n)] if n.tag in UNITS and not within[id(n)][0] else 0
+        after[i] = max(after[i + 1], unit_chars)
+        before[end[id(n)]] = max(before[end[id(n)]], unit_chars)
+    for i in range(k):
+        before[i + 1] = max(before[i + 1], before[i])
+    total = text[id(root)]
+    kept, cut, units = set(), [], False
+    stack = [root]
+    at = {id(n): i for i, n in enumerate(order)}
+    while stack:
+        n = stack.pop()
+        if n.drop:
+            apart = max(before[at[id(n)]], after[end[id(n)]])  # largest article or main that n neither holds nor lies in
+            largest = most[id(n)] > 0 and most[id(n)] >= apart
+            # beside an article, a promotion can be the longer text; a form cannot
+            half = text[id(n)] * 2 > total and (not apart or n.tag in ("form", "dialog", "menu"))
+            if not (largest and half and not within[id(n)][1] if n.drop == ASIDE else largest or half):
+                cut.append(n)
+                continue
+            kept.add(id(n))
+        units = units or (n.tag in UNITS and text[id(n)] > 0)
+        stack.extend(p for p in n.parts if isinstance(p, Node))
+    wrappers = [n for n in cut if n.drop == WRAPPER]
+    if not units and sum(text[id(n)] for n in wrappers) * 2 > total:
+        kept.update(id(n) for n in wrappers)
+    for n in order:
+        n.parts = [("\n" if p.tag in BLOCK else " ") if isinstance(p, Node) and p.drop and id(p) not in kept else p for p in n.parts]
+    return root
+
+
 def measure(root: Node) -> list[Node]:
     """All nodes in page order, with the counts of their subtrees."""
     order, stack = [], [root]
@@ -281,9 +343,9 @@ def blocks(roots: list[Node]) -> list[str]:
 
 def extract(page: str) -> str:
     page = page.replace("\0", "")
-    text = "\n".join(blocks(select(measure(parse(page)))))
+    text = "\n".join(blocks(select(measure(prune(parse(page))))))
     # a page all of whose text stands under a marked name is read by its elements alone
-    return text or "\n".join(blocks(select(measure(parse(page, by_name=False)))))
+    return text or "\n".join(blocks(select(measure(prune(parse(page, by_name=False))))))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -62,6 +62,23 @@ def test_all_sibling_articles_stay(sizes):
     assert got == "\n".join("\n".join([f"Part {i}", *re.findall("<p>(.*?)</p>", prose(f"Text{i}", n)), "Brief."]) for i, n in enumerate(sizes))
 
 
+@pytest.mark.parametrize("wrapper", ["<form action=/page.aspx>", "<dialog open>", "<menu>", "<div id=page class='sidebar-right'>"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_a_wrapper_of_the_page_is_no_boilerplate(wrapper, tag):
+    kind = re.match(r"<(\w+)", wrapper)[1]
+    page = f"<body>{wrapper}<nav>menu</nav><{tag}>{prose('Paragraph', 6)}</{tag}><button>Send</button></{kind}><div>copyright</div></body>"
+    got = extract(page)
+    assert re.findall(r"Paragraph \d", got) == [f"Paragraph {k}" for k in range(6)]
+    assert "menu" not in got and "Send" not in got
+
+
+def test_parts_beside_an_article_stay_cut():
+    comments = prose("Comment", 9)
+    cards = "".join(f"<article><p>Card {k}</p></article>" for k in range(4))
+    page = f"<body><article>{prose('Paragraph', 2)}<section class=comments>{comments}</section></article><section class=comments>{comments}</section><aside>{cards}</aside><form>Search</form></body>"
+    assert re.findall(r"Comment|Card|Search|Paragraph", extract(page)) == ["Paragraph"] * 2
+
+
 def test_deep_nesting_and_long_attributes_end_quickly():
     assert extract("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert extract('<a href="' + "q" * 200_000) is not None
