@@ -8,12 +8,15 @@ can belong to: all that matter within the covering radius plus the threshold. Tw
 anchor, where they are compared in full.
 
 Equal fingerprints are one row before that. At an anchor only a spanning forest of the links found is kept, so that
-the rows stay in proportion to the fingerprints however dense a group is. An anchor with very many fingerprints is cut
-into blocks that are compared pairwise in tasks of their own.
-
-Contract on edge cases: a null or empty text has fingerprint zero and is linked like any other; a null id never names
-a component, and its row takes that of its fingerprint's other rows, if any; repeated rows share a component; an empty
-table gives an empty result; other columns are ignored.
+the rows stay in proportion to the fingerprints however dense a group is. Anchors are counted first; those with very
+many fingerprints are cut into blocks that are compared pairwise in tasks of their own.
+
+Contract on edge cases: a null or empty text has fingerprint zero and is linked like any other. Ids are of any type that
+has an order. A row without an id links others as any row does but never names a component; a component of such rows
+alone has id null. Rows that repeat an id are judged each by its own text. Repeated rows share a component. A bit that is
+set in exactly half the hashes is 0; of equally small ids there is but one value. A very long text is hashed in slices of
+65,536 shingles and needs memory in proportion to its length. An empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -59,16 +62,21 @@ def fingerprint(text: bytes, size: int = 4) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (the 64 bits as a signed number)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _with_fingerprint(rows: DataFrame) -> DataFrame:
+    """rows with fp (the 64 bits as a signed number) in place of their last column, a text."""
+    *kept, _ = rows.schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(b) for b in blobs(batch.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
+            fp = np.array([fingerprint(b) for b in blobs(batch.columns[-1])], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))], names=[*(f.name for f in kept), "fp"])
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "fp bigint"]))
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, fp."""
+    return _with_fingerprint(docs.select(id_col, text_col))
 
 
 class Anchors:
@@ -116,19 +124,18 @@ def covered(fp: np.ndarray, window: int, blocks: list[tuple[int, int]], code: An
 
 
 def replicate(nodes: DataFrame) -> DataFrame:
-    """key, fp, node, home of every anchor of every row of nodes (fp, node)."""
+    """key, fp, home of every anchor of every row of nodes (fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = windows()
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            nodes = batch.column(1).to_numpy()
             for a in range(0, len(fps), 4096):
                 for w, (blocks, code) in enumerate(codes):
                     row, key, home = covered(fps[a : a + 4096], w, blocks, code)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[a + row].view(np.int64)), pa.array(nodes[a + row]), pa.array(home)], names=["key", "fp", "node", "home"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[a + row].view(np.int64)), pa.array(home)], names=["key", "fp", "home"])
 
-    return nodes.select("fp", "node").mapInArrow(run, "key bigint, fp bigint, node bigint, home boolean")
+    return nodes.select("fp").mapInArrow(run, "key bigint, fp bigint, home boolean")
 
 
 def pairs_within(fp: np.ndarray, first: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,8 +172,8 @@ def lowest(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarra
     return labels
 
 
-def forest(fp: np.ndarray, node: np.ndarray, home: np.ndarray, first: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, node) that join exactly what near pairs within groups join."""
+def forest(fp: np.ndarray, home: np.ndarray, first: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fp, fp) that join exactly what near pairs within groups join."""
     sizes = np.diff(np.concatenate([np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])), [len(first)]])) if len(first) else np.zeros(0, dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
     labels = np.arange(len(fp))
@@ -183,45 +190,24 @@ def forest(fp: np.ndarray, node: np.ndarray, home: np.ndarray, first: np.ndarray
             i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[group][None]) <= threshold)
             labels = lowest(labels, part[i], group[j])
     linked = np.flatnonzero(labels != np.arange(len(fp)))
-    return node[linked], node[labels[linked]]
+    return fp[linked], fp[labels[linked]]
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int, most: float = MOST_ROWS) -> Iterator[tuple[list[np.ndarray], bool]]:
-    """Columns of whole groups of a stream sorted by its first `keys` columns; (columns, True) holds a part of one group of more than `most` rows."""
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of whole groups of a stream sorted by its first `keys` columns."""
     rest: list[np.ndarray] | None = None
-    huge = None
     for batch in batches:
         got = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if not len(got[0]):
             continue
         if rest is not None:
             got = [np.concatenate([a, b]) for a, b in zip(rest, got, strict=True)]
-        change = np.zeros(len(got[0]), dtype=bool)
-        for c in got[:keys]:
-            change[1:] |= c[1:] != c[:-1]
-        starts = np.flatnonzero(change)
-        if huge is not None:  # go on with the group that is being passed on in parts
-            same = all(got[k][0] == huge[k] for k in range(keys))
-            end = (starts[0] if len(starts) else len(got[0])) if same else 0
-            if end:
-                yield [c[:end] for c in got], True
-                got = [c[end:] for c in got]
-                starts = starts[1:] - end if len(starts) else starts
-                starts = starts[starts > 0]
-            if len(got[0]):
-                huge = None
-        last = starts[-1] if len(starts) else 0
+        last = _first(got[:keys])[-1]
         if last:
-            yield [c[:last] for c in got], False
+            yield [c[:last] for c in got]
         rest = [c[last:] for c in got]
-        if len(rest[0]) > most:
-            huge = [rest[k][0] for k in range(keys)]
-            yield rest, True
-            rest = None
-        elif not len(rest[0]):
-            rest = None
     if rest is not None:
-        yield rest, False
+        yield rest
 
 
 def _first(columns: list[np.ndarray]) -> np.ndarray:
@@ -232,67 +218,70 @@ def _first(columns: list[np.ndarray]) -> np.ndarray:
     return np.maximum.accumulate(np.where(change, np.arange(len(change)), 0))
 
 
-def near_links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Links (a, b) between the rows of nodes (fp, node), fp distinct, that make the components of all pairs that differ in at most 4 bits."""
-    spark = nodes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _links(rows: DataFrame, keys: list[str], threshold: int) -> DataFrame:
+    """Links (a, b) within groups of rows (keys, fp, home)."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, part_of_huge in _grouped(batches, 1):
-            key, fp, node, home = columns
-            big = np.full(len(key), part_of_huge)
-            if not part_of_huge:  # whole groups, of which some may still be too large
-                first = _first([key])
-                big = np.bincount(first, minlength=len(first))[first] > MOST_ROWS
-                small = ~big
-                a, b = forest(fp[small].view(np.uint64), node[small], home[small], _first([key[small]]) if small.any() else first[small], threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.bool_())], names=["a", "b", "key", "fp", "home"])
-            if big.any():
-                n = int(big.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(node[big]), pa.nulls(n, pa.int64()), pa.array(key[big]), pa.array(fp[big]), pa.array(home[big])], names=["a", "b", "key", "fp", "home"])
-
-    rows = replicate(nodes).repartition(parts, "key").sortWithinPartitions("key")
-    found = materialize(rows.mapInArrow(compare, "a bigint, b bigint, key bigint, fp bigint, home boolean"), "simhash-links")
-    return found.where("key is null").select("a", "b").unionByName(_split_links(found.where("key is not null"), parts, threshold))
-
-
-def _split_links(rows: DataFrame, parts: int, threshold: int) -> DataFrame:
-    """Links at anchors with too many rows: homes are cut into blocks i, all rows into blocks j, and each (i, j) is a task's group."""
-    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(MOST_ROWS // 2)).cast("int").alias("blocks"))
-    cut = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        for columns in _grouped(batches, len(keys)):
+            a, b = forest(columns[-2].view(np.uint64), columns[-1], _first(columns[:-2]), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    dealt = rows.select(*keys, "fp", "home").repartition(parts, *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(compare, "a bigint, b bigint")
+
+
+def near_links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints of nodes (fp) that make the components of all pairs that differ in at most 4 bits."""
+    rows = replicate(nodes)
+    # an anchor with more rows than a task should compare; counted by partial sums
+    sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_ROWS), "simhash-anchors")
+    if sizes.isEmpty():
+        return _links(rows, ["key"], threshold)
+    return _links(rows.join(sizes, "key", "left_anti"), ["key"], threshold).unionByName(_split_links(rows.join(sizes, "key"), threshold))
+
+
+def _split_links(rows: DataFrame, threshold: int) -> DataFrame:
+    """Links at anchors with n rows, too many: homes are cut into blocks i, all rows into blocks j, and each (i, j) is a task's group."""
+    blocks = F.ceil(F.col("n") / F.lit(MOST_ROWS // 2)).cast("int")
+    cut = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    homes = cut.where("home").select("key", F.col("own").alias("i"), every.alias("j"), "fp", "a", F.lit(True).alias("home"))
-    others = cut.select("key", every.alias("i"), F.col("own").alias("j"), "fp", "a", F.lit(False).alias("home"))
+    homes = cut.where("home").select("key", F.col("own").alias("i"), every.alias("j"), "fp", F.lit(True).alias("home"))
+    others = cut.select("key", every.alias("i"), F.col("own").alias("j"), "fp", F.lit(False).alias("home"))
+    return _links(homes.unionByName(others), ["key", "i", "j"], threshold)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, _ in _grouped(batches, 3, np.inf):
-            key, i, j, fp, node, home = columns
-            a, b = forest(fp.view(np.uint64), node, home, _first([key, i, j]), threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    cells = homes.unionByName(others).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return cells.mapInArrow(compare, "a bigint, b bigint")
+def classes(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """fp, class (one fingerprint for all that are linked) of the distinct fingerprints of fps."""
+    nodes = materialize(fps.select("fp").distinct(), "fingerprint-nodes")
+    found = components(near_links(nodes, threshold)).withColumnRenamed("node", "fp")
+    return materialize(nodes.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("class")), "fingerprint-classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     fps = materialize(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "id"), "fingerprints")
-    nodes = materialize(fps.where("id is not null").groupBy("fp").agg(F.min("id").cast("bigint").alias("node")), "fingerprint-nodes")
-    found = components(near_links(nodes, threshold))
-    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = fps.join(classes, "fp", "left")
-    kind = docs.schema[id_col].dataType
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id").cast(kind))
+    low = fps.groupBy("fp").agg(F.min("id").alias("low")).join(classes(fps, threshold), "fp")
+    named = low.join(low.groupBy("class").agg(F.min("low").alias("component_id")), "class").select("fp", "component_id")
+    return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """The rows, with all their columns, whose id names their component. Rows without an id stay; of rows that repeat an id, one stays."""
-    found = materialize(near_duplicates(docs, id_col, text_col, threshold).select(id_col, "component_id"), "near-duplicates")
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    # always the shuffled join, so that the work grows alike at every size; the ids that go grow with the documents
-    out = docs.join(gone.hint("merge"), id_col, "left_anti")
-    repeated = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").limit(1).count()
-    if repeated:
-        some = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        out = some.unionByName(out.where(F.col(id_col).isNull()))
-    return out.select(*docs.columns)
+    """One row, with all its columns, of each component: that of the smallest id, rows without an id last; of rows that repeat this id, the one with the smallest fingerprint, then digest of the text; of rows equal in all of these, any one.
+
+    Rows are told apart by id and MD5 of the text, so that rows of one id but different texts each count for themselves.
+    """
+    digest = F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit(""))
+    rows = _with_fingerprint(docs.select(F.col(id_col).alias("id"), digest.alias("digest"), F.col(text_col).alias("text")))
+    fps = materialize(rows, "fingerprints")
+    own = fps.groupBy("id", "digest", "fp").agg(F.count(F.lit(1)).alias("n")).join(classes(fps, threshold), "fp")
+    rank = F.struct(F.col("id").isNull().alias("unnamed"), "id", "fp", "digest")
+    own = own.join(own.groupBy("class").agg(F.min(rank).alias("first")), "class")
+    marks = own.withColumn("stays", rank.eqNullSafe(F.col("first"))).where("not stays or n > 1")
+    marks = materialize(marks.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "stays"), "near-duplicates")
+    # always the shuffled join, so that the work grows alike at every size; the rows that go grow with the documents
+    same = docs[id_col].eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
+    marked = docs.join(marks.hint("merge"), same, "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = marked.where("stays").dropDuplicates(["_id", "_digest"]).select(*columns)  # equal rows, of which one stays
+    return marked.where("stays is null").select(*columns).unionByName(once)

@@ -76,7 +76,6 @@ def test_every_point_lies_near_its_anchor():
 @pytest.mark.parametrize("most", [1 << 14, 40])
 def test_components_by_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(simhash, "MOST_ROWS", most)
-    monkeypatch.setattr(simhash._grouped, "__defaults__", (most,))
     docs = near_copies()
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
     got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.near_duplicates(df).collect()}
@@ -85,7 +84,7 @@ def test_components_by_brute_force(spark, monkeypatch, most):
     assert {i: c for i, (_, c) in got.items()} == slow_components(fps)
 
 
-def test_anchors_with_too_many_rows(spark):
+def test_anchors_with_too_many_rows(spark, monkeypatch):
     """A dense cluster: every fingerprint near a centre, so that anchors overflow a small limit."""
     rnd = random.Random(4)
     fps = set()
@@ -94,14 +93,47 @@ def test_anchors_with_too_many_rows(spark):
         for _ in range(rnd.randrange(0, 5)):
             x ^= 1 << rnd.randrange(64)
         fps.add(x - (1 << 64) if x >> 63 else x)
-    nodes = spark.createDataFrame([(f, i) for i, f in enumerate(sorted(fps))], "fp bigint, node bigint")
-    rows = simhash.replicate(nodes).select("key", "fp", F.col("node").alias("a"), "home")
-    links = simhash._split_links(rows, 4, 4).collect()
+    nodes = spark.createDataFrame([(f,) for f in sorted(fps)], "fp bigint")
+    monkeypatch.setattr(simhash, "MOST_ROWS", 50)
+    got = {r.fp: r["class"] for r in simhash.classes(nodes).collect()}
     order = sorted(fps)
     want = slow_components({i: f & (1 << 64) - 1 for i, f in enumerate(order)})
-    edges = spark.createDataFrame([(r.a, r.b) for r in links], "a bigint, b bigint")
+    assert got == {order[i]: order[c] for i, c in want.items()}
+
+
+def test_hot_nodes_are_joined_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(components, "FEW", 3)
+    monkeypatch.setattr(components, "MOST_HOT", 8)
+    rnd = random.Random(3)
+    star = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(40)] + [(rnd.randrange(2000, 2300), rnd.randrange(2000, 2300)) for _ in range(150)]
+    parent = {}
+
+    def root(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in star:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    edges = spark.createDataFrame(star, "a bigint, b bigint")
     got = {r.node: r.component for r in components.components(edges).collect()}
-    assert {i: got.get(i, i) for i in range(len(order))} == want
+    assert got == {i: root(i) for a, b in star if a != b for i in (a, b)}
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Rows count by their own text, whatever ids they repeat; ids can be texts."""
+    rnd = random.Random(21)
+    a, b, c = (words(rnd, 60) for _ in range(3))
+    rows = [("3", a), ("5", a), ("5", b), ("5", b), (None, a), (None, c), (None, c), ("3", c + " more")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(map(tuple, simhash.near_duplicates(df).select("doc_id", "component_id").collect()), key=str)
+    far = bin(slow_fingerprint(c) ^ slow_fingerprint(c + " more")).count("1") > 4
+    assert far or ("3", "3") in got
+    assert got.count(("5", "3")) == 1 and got.count(("5", "5")) == 2 and got.count((None, "3")) >= 1
+    kept = sorted(map(tuple, simhash.keep_one(df).collect()), key=str)
+    want = [("3", a), ("5", b)] + ([("3", c + " more"), (None, c)] if far else [("3", c + " more")])
+    assert kept == sorted(want, key=str)
 
 
 def test_a_long_chain_is_one_component(spark):
