@@ -35,21 +35,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that materialize() wrote in this process.
+WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete what materialize() wrote, once nothing reads it any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rpartition("/")[0]) if df.inputFiles() else None
-        if path is not None:
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared folder."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process. Call it once results have been written: frames that read them end with it."""
+    discard(spark, *list(WRITTEN))
 
 
 def fold(key: Column, parts: int) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import WRITTEN, discard, materialize
 
 #: A node with more than one in MOST_HOT of all edge ends (and with FEW or more) is hot; there are at most MOST_HOT.
 MOST_HOT = 1000
@@ -44,9 +44,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = (edges.count(), None)
     for _ in range(most_rounds):
-        old = edges
-        edges = materialize(_small_star(_large_star(old, state[0]), state[0]).where("a <> b").distinct(), "edges")
-        discard(old)
+        old = WRITTEN[-1]
+        edges = materialize(_small_star(_large_star(edges, state[0]), state[0]).where("a <> b").distinct(), "edges")
+        discard(edges.sparkSession, old)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break

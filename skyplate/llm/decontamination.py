@@ -6,9 +6,15 @@ and of documents meet in an equi-join; each hit lines an item up with a document
 hit decides: a run of `overlap` words (or the whole item, if that is shorter) with at most `substitutions` others. Items
 of 5 to 9 words are found with one word replaced, as two would leave too little of them; shorter ones as they are.
 
+Whether a text overlaps an item depends on the text alone, so texts are told apart by their digest, and ids only name
+the rows in the result: rows without an id, or that repeat one, are each judged by their own text. Items with the same
+words are one item, reported by its smallest id with the number of its copies.
+
 Contract on edge cases: a null or empty text has no words; items below `overlap` words are looked for as a whole, with
-the masks of their length (TIERS), and items without words are left out; null ids pass through where they are matched;
-repeated rows of documents are reported once per id; empty tables give an empty result; other columns are ignored.
+the masks of their length (TIERS), and items without words are left out; an item without an id counts like any other and is reported as null. Of several items or alignments
+of a document the one with the most equal words is reported, then the smallest item id, then the first place. A very long text
+is one row, of 8 bytes a word; the alignments of a text and an item are at most as many as their words together.
+Empty tables give an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,45 +73,70 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def aligned(wanted: Column, h: Column, shift: Column) -> Column:
-    """shift, and 1 or 0 for each word i of `wanted` that lies within h at i + shift: are the two equal?"""
+    """1 or 0 for each word i of `wanted` that lies within h at i + shift: are the two equal?"""
     start, stop = F.greatest(F.lit(0), -shift), F.least(F.size(wanted), F.size(h) - shift)
     same = F.transform(F.sequence(start, stop - 1), lambda i: (F.get(wanted, i) == F.get(h, i + shift)).cast("int"))
-    return F.struct(shift.alias("shift"), F.when(stop > start, same).otherwise(F.array().cast("array<int>")).alias("same"))
+    return F.when(stop > start, same).otherwise(F.array().cast("array<int>"))
 
 
 def total(flags: Column) -> Column:
     return F.aggregate(flags, F.lit(0), lambda a, x: a + x)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """id, item, at (word of the document where the item's first word lines up), n_same (equal words of that alignment), n_item (words of the item): one row for each pair that overlaps, at its best alignment."""
-    items = materialize(benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("h")).where(F.size("h") > 0).dropDuplicates(["item", "h"]), "benchmark-words")
+def overlaps(texts: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """digest, item, copies, at, n_same, n_item: one row for each overlapping pair of distinct texts of texts (digest, text) and distinct items.
+
+    item: smallest id of the items with these words, copies: how many they are, at: word of the text where the item's
+    first word lines up in the best alignment, n_same: equal words of that alignment, n_item: words of the item.
+    """
+    items = benchmark.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("h")).where(F.size("h") > 0)
+    items = items.groupBy("h").agg(F.min("item").alias("item"), F.count(F.lit(1)).alias("copies"))
+    items = materialize(items.withColumn("key", F.md5(F.array_join(F.transform("h", lambda w: w.cast("string")), " ").cast("binary"))), "benchmark-words")
     present = {r[0] for r in items.select(tier(F.size("h"))).distinct().collect()}  # at most len(TIERS) numbers
     masks = {k: [(k * 10 + n, p) for n, p in enumerate(TIERS[k][2])] for k in sorted(present)}
-    found = exploded(items.limit(0), [(0, MASKS[0])], ["item"])
+    found = exploded(items.limit(0), [(0, MASKS[0])], ["key"])
     for k, m in masks.items():
-        found = found.unionByName(exploded(items.where(tier(F.size("h")) == k), m, ["item"]))
+        found = found.unionByName(exploded(items.where(tier(F.size("h")) == k), m, ["key"]))
     item_seeds = materialize(found.withColumnsRenamed({"at": "item_at"}), "benchmark-seeds")
     n_seeds = item_seeds.count()
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("h"))
-    hits = exploded(own, sum(masks.values(), []) or [(0, MASKS[0])], ["doc"]).join(small(item_seeds, n_seeds), "seed")
-    hits = hits.groupBy("doc", "item").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
+    own = texts.select("digest", words(F.col("text")).alias("h"))
+    hits = exploded(own, sum(masks.values(), []) or [(0, MASKS[0])], ["digest"]).join(small(item_seeds, n_seeds), "seed")
+    hits = hits.groupBy("digest", "key").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
     hits = materialize(hits, "benchmark-hits")
     n_hits = hits.agg(F.sum(F.size("shifts"))).first()[0] or 0
-    lined = own.join(small(hits, n_hits), "doc").join(small(items.select("item", F.col("h").alias("wanted")), n_seeds), "item")
+    lined = own.join(small(hits, n_hits), "digest").join(small(items.withColumnRenamed("h", "wanted"), n_seeds), "key")
     run = F.least(F.lit(OVERLAP), F.size("wanted"))
-    missing = F.get(F.array(*[F.lit(t[1]) for t in TIERS]), tier(F.size("wanted")))
-    lines = F.transform("shifts", lambda s: aligned(F.col("wanted"), F.col("h"), s))
-    lined = lined.select("doc", "item", F.size("wanted").alias("n_item"), run.alias("run"), (run - missing).alias("least"), lines.alias("lines"))
+    least = run - F.get(F.array(*[F.lit(t[1]) for t in TIERS]), tier(F.size("wanted")))
+    lined = lined.select("digest", "key", "item", "copies", "h", "wanted", "shifts", run.alias("run"), least.alias("least"))
     best = lambda same: F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(F.size(same) - F.col("run"), F.lit(0))), lambda i: total(F.slice(same, i + 1, F.col("run")))))
-    good = F.filter("lines", lambda x: (F.size(x["same"]) >= F.col("run")) & (total(x["same"]) >= F.col("least")) & (best(x["same"]) >= F.col("least")))
-    top = F.array_max(F.transform(good, lambda x: F.struct(total(x["same"]).alias("n_same"), (-x["shift"]).alias("back"))))
-    found = lined.select("doc", "item", "n_item", top.alias("top")).where("top is not null")
-    out = found.groupBy("doc", "item").agg(F.max(F.struct("top.n_same", "top.back", "n_item")).alias("t"))
-    return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), (-F.col("t.back")).alias("at"), F.col("t.n_same").cast("bigint").alias("n_same"), F.col("t.n_item").cast("bigint").alias("n_item"))
 
+    def fits(shift: Column) -> Column:  # no flags of an alignment outlive its comparison
+        same = aligned(F.col("wanted"), F.col("h"), shift)
+        return (F.size(same) >= F.col("run")) & (total(same) >= F.col("least")) & (best(same) >= F.col("least"))
+
+    good = F.filter("shifts", fits)
+    top = F.array_max(F.transform(good, lambda s: F.struct(total(aligned(F.col("wanted"), F.col("h"), s)).alias("n_same"), (-s).alias("back"))))
+    out = lined.select("digest", "key", "item", "copies", F.size("wanted").alias("n_item"), top.alias("top")).where("top is not null")
+    out = out.groupBy("digest", "key").agg(F.max(F.struct("top", "copies", "n_item", "item")).alias("t"))  # copies of a text
+    return out.select("digest", "t.item", "t.copies", (-F.col("t.top.back")).alias("at"), F.col("t.top.n_same").cast("bigint").alias("n_same"), F.col("t.n_item").cast("bigint").alias("n_item"))
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text overlaps no benchmark item."""
-    bad = materialize(contaminated(docs, benchmark, id_col, text_col).select(id_col).distinct(), "contaminated")
-    return docs.join(small(bad, bad.count()), id_col, "left_anti").select(*docs.columns)
+
+def _digest(text_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row for each row of docs that overlaps an item: id, n_items (benchmark rows that it overlaps), and of the item with the most equal words item, at, n_same and n_item."""
+    texts = docs.select(_digest(text_col).alias("digest"), F.col(text_col).alias("text"))
+    found = overlaps(texts, benchmark, item_col, item_text)
+    worst = F.min_by(F.struct("item", "at", "n_same", "n_item"), F.struct((-F.col("n_same")).alias("n"), "item")).alias("w")
+    found = materialize(found.groupBy("digest").agg(F.sum("copies").alias("n_items"), worst), "contaminated")
+    rows = docs.select(F.col(id_col).alias("id"), _digest(text_col).alias("digest")).join(small(found, found.count()), "digest")
+    return rows.select(F.col("id").alias(id_col), "n_items", F.col("w.item").alias(item_col), "w.at", "w.n_same", "w.n_item")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text overlaps no benchmark item; ids play no part."""
+    texts = docs.select(_digest(text_col).alias("digest"), F.col(text_col).alias("text"))
+    bad = materialize(overlaps(texts, benchmark, item_col, item_text).select(F.col("digest").alias("_digest")).distinct(), "contaminated")
+    return docs.join(small(bad, bad.count()), _digest(text_col) == F.col("_digest"), "left_anti")

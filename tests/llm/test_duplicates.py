@@ -238,13 +238,57 @@ def test_decontamination_stays_in_the_jvm(spark, capsys):
 
 def test_decontamination_edge_cases(spark, edge, empty):
     b = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "a b c d e f g h i j k", "x"), (3, "word " * 20, "x"), (3, "word " * 20, "x")], "item_id bigint, text string, h string")
-    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(edge, b).collect()} == {(5, 3)}
+    assert [(r.doc_id, r.item_id, r.n_items) for r in decontamination.contaminated(edge, b).collect()] == [(5, 3, 2)]
     assert decontamination.contaminated(empty, b).count() == 0
     assert decontamination.contaminated(edge, b.limit(0)).count() == 0
     assert decontamination.clean(edge, b).count() == 8
     assert decontamination.clean(edge, b).columns == edge.columns
 
 
+def slow_overlaps(text, items):
+    """Items that a text overlaps, by definition: every alignment compared word by word."""
+    split = lambda t: [w for w in re.split(r"[^\w]|_", t.lower()) if w]
+    h, out = split(text), set()
+    for k, t in items:
+        want = split(t)
+        n = len(want)
+        run = min(13, n)
+        least = run - (0 if n < 5 else 1 if n < 10 else 2)
+        for shift in range(-n, len(h)):
+            same = [want[i] == h[i + shift] for i in range(n) if 0 <= i + shift < len(h)]
+            if n and any(sum(same[a : a + run]) >= least for a in range(len(same) - run + 1)):
+                out.add(k)
+    return out
+
+
+def test_overlaps_by_brute_force(spark):
+    """Few distinct words, so that many alignments come near the limits; ties, copies and ids that are null or repeated."""
+    rnd = random.Random(31)
+    draw = lambda n: " ".join(rnd.choice("abcdefgh") for _ in range(n))
+    items = [(k, draw(rnd.randrange(1, 30))) for k in range(25)] + [(99, "a b c d e f g"), (None, "h g f e d c b a h g f e d")]
+    items.append((50, items[3][1]))
+    docs = [(rnd.randrange(20), draw(rnd.randrange(0, 60))) for _ in range(40)] + [(None, "x " + items[5][1] + " y"), (7, "nothing here"), (7, "q " + items[-2][1])]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    found = [slow_overlaps(t, enumerate(t for _, t in items)) for _, t in docs]
+    got = sorted(((r.doc_id, r.n_items) for r in decontamination.contaminated(d, b).collect()), key=str)
+    assert got == sorted(((i, len(f)) for (i, _), f in zip(docs, found, strict=True) if f), key=str)
+    kept = sorted(map(tuple, decontamination.clean(d, b).collect()), key=str)
+    assert kept == sorted(((i, t) for (i, t), f in zip(docs, found, strict=True) if not f), key=str)
+
+
+def test_leaks_against_sql(spark, big_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{big_dir}/{t}.parquet'")
+    names = ["doc_id", "n_items", "item_id", "at", "n_same", "n_item"]
+    want = sorted(map(tuple, con.sql(queries.LEAKS_SQL).df()[names].itertuples(index=False)))
+    assert len(want) > 5
+    assert sorted(tuple(r[n] for n in names) for r in queries.op7_decontamination(spark, big_dir).collect()) == want
+
+
 # ---- repeated passages
 
 
