@@ -7,15 +7,19 @@ a logistic span classifier is trained on the candidates' features against these
 
 Contract on edge cases: a null or empty text has no spans; a null id passes through; repeated rows are judged one by
 one; an empty table gives an empty result, and a corpus without candidates a classifier that adds nothing; other
-columns are ignored.
+columns are ignored, whatever their names. A very long text takes time in proportion to its length, and memory for its
+spans. Ties: of overlapping candidates the grouped telephone number wins, then the earlier one; a probability of exactly
+the threshold counts as personal data.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -85,17 +89,18 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     if not DIGIT.search(text):
         return []
     taken = sorted((s, e) for _, s, e in base)
-    out, at = [], 0
+    out, at, reach = [], 0, 0
     if "+" in text:
+        ends = list(accumulate((e for _, e in taken), max))  # the furthest end of the spans up to each: kinds can overlap
         grouped = [m.span() for m in GROUPED.finditer(text)]
-        grouped = [(s, e) for s, e in grouped if not any(a < e and s < b for a, b in taken)] if grouped else []
+        grouped = [(s, e) for s, e in grouped if not (k := bisect_left(taken, (e,))) or ends[k - 1] <= s]
         out = [(s, e, *judge(text[s:e], "", text[max(0, s - 24) : s], False, False, "phone")) for s, e in grouped]
         taken = sorted(taken + grouped)
     for m in TOKEN.finditer(text):
         start, end = m.span()
-        while at < len(taken) and taken[at][1] <= start:
-            at += 1
-        if at < len(taken) and taken[at][0] < end:
+        while at < len(taken) and taken[at][0] < end:
+            reach, at = max(reach, taken[at][1]), at + 1
+        if reach > start:
             continue
         token = m[0]
         cut = max(token.find("="), token.find(":"))
@@ -178,6 +183,10 @@ class SpanModel:
     def probability(self, features: np.ndarray) -> np.ndarray:
         return logistic(one_hot(features) @ self.weight) if len(features) else np.zeros(0)
 
+    def accepted(self, threshold: float) -> np.ndarray:
+        """For each encoded combination of features, of which there are few: does it count as personal data?"""
+        return self.probability(np.stack(np.unravel_index(np.arange(np.prod(WIDTHS)), WIDTHS), axis=1)) >= threshold
+
 
 def encode(values: tuple[int, ...], widths: tuple[int, ...], shift: int = 0) -> int:
     n = 0
@@ -247,7 +256,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     """id, n_<kind> of each base kind, base_sha256, spans (all spans as kind:start:end, by kind in the order of KINDS, then start)."""
     found = materialize(find(docs, id_col, text_col), "pii-spans")
     one = F.explode("spans").alias("s")
-    model = fit_counts(found.select(one).where("s.votes >= 0").groupBy("s.votes", "s.features").agg(F.count(F.lit(1)).alias("n")))
+    accepted = fit_counts(found.select(one).where("s.votes >= 0").groupBy("s.votes", "s.features").agg(F.count(F.lit(1)).alias("n"))).accepted(threshold)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +267,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
                 for k, _, _ in base:
                     counts[BASE_KINDS.index(k), i] += 1
                 hashes.append(hashlib.sha256(digest(base).encode()).hexdigest())
-                all_spans.append(digest(in_order(base + chosen(spans, model, threshold))))
+                all_spans.append(digest(in_order(base + chosen(spans, accepted))))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(hashes, type=pa.string()), pa.array(all_spans, type=pa.string())], names=[id_col, *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
 
     return found.mapInArrow(decide, f"`{id_col}` {kind}, " + ", ".join(f"n_{k} bigint" for k in BASE_KINDS) + ", base_sha256 string, spans string")
@@ -268,21 +277,17 @@ def in_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
-def chosen(spans: list[dict], model: SpanModel, threshold: float) -> list[tuple[str, int, int]]:
-    more = [s for s in spans if s["votes"] >= 0]
-    if not more:
-        return []
-    p = model.probability(np.array([decode(s["features"], WIDTHS) for s in more], dtype=np.int64))
-    return [(s["kind"], s["start"], s["end"]) for s, x in zip(more, p, strict=True) if x >= threshold]
+def chosen(spans: list[dict], accepted: np.ndarray) -> list[tuple[str, int, int]]:
+    return [(s["kind"], s["start"], s["end"]) for s in spans if s["votes"] >= 0 and accepted[s["features"]]]
 
 
 def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows with each span of their text replaced by <KIND>; a null text stays null. Overlapping spans are merged under the first one's kind."""
-    model, at = fit_counts(vote_counts(docs, text_col)), docs.columns.index(text_col)
+    accepted, at = fit_counts(vote_counts(docs, text_col)).accepted(threshold), docs.columns.index(text_col)
 
     def clean(text: str) -> str:
         base = base_spans(text)
-        more = [(s, e, k) for s, e, k, _, f in (c for c in candidates(text, base)) if model.probability(np.array([f]))[0] >= threshold]
+        more = [(s, e, k) for s, e, k, _, f in candidates(text, base) if accepted[encode(f, WIDTHS)]]
         spans = sorted([(s, e, BASE_KINDS[k]) for k, s, e in base] + more)
         if not spans:
             return text

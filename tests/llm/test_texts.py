@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -236,3 +238,55 @@ def test_pii_edge_cases(spark, edge, empty):
     assert pii.detect(empty).count() == 0
     assert sorted(str(r.text) for r in pii.redact(edge).collect()) == sorted(str(r.text) for r in edge.collect())
     assert pii.redact(edge).columns == edge.columns
+
+
+def test_grouped_numbers_take_linear_time():
+    def took(n):
+        text = "call +49 30 1234 5678 now 99 " * n
+        began = time.perf_counter()
+        found = pii.candidates(text, pii.base_spans(text))
+        assert len(found) == 2 * n or len(found) == n
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 16 * max(took(2_000), 0.02)
+
+
+def test_candidates_overlap_nothing():
+    rnd = random.Random(12)
+    parts = ["+49 30 1234 5678", "10.2.3.4", "4111 1111 1111 1111", "a@b.cc", "key=ab12cd34ef56ab78", "7", "word", "+1 (212) 555-0100 99"]
+    for _ in range(300):
+        text = "".join(rnd.choice(parts) + rnd.choice([" ", "  ", ",", "", "\n"]) for _ in range(rnd.randrange(12)))
+        base = pii.base_spans(text)
+        spans = sorted((s, e) for s, e, *_ in pii.candidates(text, base))
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+        assert not any(s < y and x < e for s, e in spans for _, x, y in base)
+
+
+def test_em_by_its_definition():
+    """Reliabilities as a plain loop over every candidate estimates them; and they come near those that made the votes."""
+    rng = np.random.default_rng(8)
+    truth = rng.random(6000) < 0.3
+    right = np.array([0.95, 0.8, 0.9, 0.7])
+    votes = np.where(rng.random((6000, 4)) < right, truth[:, None], ~truth[:, None]).astype(np.int64)
+    votes[rng.random((6000, 4)) < 0.2] = -1
+    rows, counts = np.unique(votes, axis=0, return_counts=True)
+    features = np.zeros((len(rows), len(pii.WIDTHS)), dtype=np.int64)
+    features[:, -1] = (rows[:, 0] == 1).astype(np.int64)
+    got = pii.SpanModel().fit(rows, features, counts.astype(float))
+    p = [((v[v >= 0].sum() + 0.5) / ((v >= 0).sum() + 1.0)) if (v >= 0).any() else 0.3 for v in votes]
+    for _ in range(50):
+        share = min(max(float(np.mean(p)), 0.01), 0.99)
+        rate = slow_rates(votes, np.array(p))
+        odds = np.log(share / (1 - share)) + sum(np.where(votes[:, k] == 1, np.log(rate[k, 1] / (1 - rate[k, 0])), np.where(votes[:, k] == 0, np.log((1 - rate[k, 1]) / rate[k, 0]), 0.0)) for k in range(4))
+        p = list(1 / (1 + np.exp(-odds)))
+    assert np.allclose(got.reliability, rate, atol=1e-6)
+    assert np.allclose(got.reliability, np.stack([right, right], axis=1), atol=0.05)
+
+
+def slow_rates(votes, p):
+    out = np.zeros((4, 2))
+    for k in range(4):
+        for c, w in ((0, 1 - p), (1, p)):
+            out[k, c] = (w[votes[:, k] == c].sum() + 4.0) / (w[votes[:, k] >= 0].sum() + 5.0)
+    return out
