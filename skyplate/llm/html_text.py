@@ -8,7 +8,9 @@ line per block, in page order.
 
 Contract on edge cases: null, empty and text-free pages give the empty text; unclosed and wrongly nested elements are
 closed as browsers would; repeated rows are read one by one; an empty table gives an empty result; other columns are
-ignored.
+ignored, whatever their names. A very long page is read whole, in time and memory in proportion to its length, however
+its tags and quotes are nested; where a quote has no end, quotes no longer count from there on. Ties: of subtrees with
+the same sum the first on the page is the main one, and all that reach the threshold are kept.
 """
 
 from __future__ import annotations
@@ -23,23 +25,28 @@ from pyspark.sql import DataFrame
 
 from .common import texts
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"</?([A-Za-z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 WORDS = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select noframes xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select noframes xmp annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 #: Elements that hold no article text, and words of a class, id or role that mark such parts.
 DROPPED = frozenset("nav footer aside form button head object audio video canvas map datalist dialog menu".split()) | RAW
 MARKED = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidebars menu menubar nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond reply replies share sharing social related recommended recommendations widget pagination pager skip toolbar masthead complementary contentinfo search".split())
-#: Words beside which a marked one only tells of a layout: a page "with sidebar" is no sidebar.
-LAYOUT = frozenset("with has no without layout".split())
+#: Words that may stand beside a marked one in the name of such a part, as in "site-footer"; beside any other word it only
+#: tells of the text, as in "related-work" or "search-results".
+PARTS = frozenset("a all area article articles aside b bar block blog body bottom box button buttons card cards center col column container content count desktop div entry extra feed fixed float footer form global group head header heading home html icon icons id image img inner item items js layer left level line link links list lists main message meta middle mini mobile module my new news off on outer page pane panel part post posts primary print region right row secondary section sections single site small sticky stories story tab tabs tag text the thread title to top ui unit ul user users view web wide wrap wrapper zone".split()) | MARKED
 #: Of these, elements and words that mark a part beside the text, however long; others can also mark what wraps all of it.
 ASIDE_TAGS = frozenset("nav footer aside header".split())
 ASIDES = frozenset("comment comments disqus respond reply replies related recommended recommendations cookie cookies consent gdpr notice notices alert popup modal overlay newsletter".split())
 WRAPPER, ASIDE, CUT = 1, 2, 3
+#: A heading of readers' comments.
+COMMENTS = re.compile(r"(?:\d+\s+)?(?:(?:reader|user|readers'|all)\s+)?(?:comments?|responses?|replies|leave a (?:comment|reply))(?:\s*\(?\d+\)?)?:?", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold one text.
 UNITS = frozenset(("article", "main"))
 #: Elements that an opening tag of the key closes, up to the nearest of the fences.
@@ -72,7 +79,7 @@ def dropped(tag: str, attrs: str, inside_article: bool, by_name: bool = True) ->
             for m in NAMED.finditer(attrs):
                 for name in (m[1] or m[2] or m[3] or "").lower().split():
                     words = WORDS.findall(name)
-                    if not MARKED.isdisjoint(words) and LAYOUT.isdisjoint(words):
+                    if not MARKED.isdisjoint(words) and all(w in PARTS or len(w) == 1 for w in words):
                         found = max(found, WRAPPER if ASIDES.isdisjoint(words) else ASIDE)
             return found
         if tag == "article" and not {"comment", "comments", "ad", "ads", "advert", "related", "promo"}.isdisjoint(w for m in NAMED.finditer(attrs) for w in WORDS.findall((m[1] or m[2] or m[3] or "").lower())):
@@ -80,80 +87,130 @@ def dropped(tag: str, attrs: str, inside_article: bool, by_name: bool = True) ->
     return 0
 
 
+LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("", text, ""), (name, "", attributes) of a start tag and ("/", name, "") of an end tag, in one pass over the page."""
+    low = page.translate(LOWER)  # as long as the page
+    never: set[str] = set()  # what does not occur from some place on: it need not be searched again
+    at, text, size = 0, 0, len(page)
+
+    def find(what: str, start: int) -> int:
+        where = -1 if what in never else low.find(what, start)
+        if where < 0:
+            never.add(what)
+        return where
+
+    quotes = True
+    while at < size:
+        start = find("<", at)
+        if start < 0:
+            break
+        if page.startswith("<!--", start):
+            end = find("-->", start + 4)
+            stop = size if end < 0 else end + 3
+        elif page[start + 1 : start + 2] in ("!", "?"):
+            end = find(">", start)
+            stop = size if end < 0 else end + 1
+        else:
+            m = TAG.match(page, start)
+            end = find(">", m.end()) if m else -1
+            if m is None or end < 0:
+                at = start + 1
+                continue
+            if quotes:  # the first > outside quotes
+                where = m.end()
+                while (q := STOP.search(page, where)) and q[0] != ">":
+                    where = find(q[0], q.end()) + 1
+                    if not where:
+                        break
+                if where and q:
+                    end = q.start()
+                else:
+                    quotes = False
+            stop = end + 1
+        if start > text:
+            yield "", page[text:start], ""
+        at = text = stop
+        if low.startswith(("<!", "<?"), start):
+            continue
+        tag = m[1].translate(LOWER)
+        if low[start + 1] == "/":
+            yield "/", tag, ""
+            continue
+        if tag in RAW:  # its content is text up to its own end tag
+            close = find(f"</{tag}", at)
+            if close < 0:
+                at = size if tag in ("script", "style", "textarea", "title") else at
+            else:
+                stop = find(">", close)
+                at = size if stop < 0 else stop + 1
+            text = at
+            continue
+        yield tag, "", page[m.end() : end]
+    if size > text:
+        yield "", page[text:], ""
+
+
 def parse(page: str, by_name: bool = True) -> Node:
     """The tree of a page; parts of a node are its texts and child nodes in page order. Parts that can be boilerplate are marked as such. by_name: class, id and role count too."""
-    root = node = Node("html", None, False)
+    root = node = Node("html", None, 0)
     open_tags: list[str] = ["html"]
-    at, skip, articles = 0, 0, 0
-    lower = None
+    places: dict[str, list[int]] = {}  # where each tag is open, and, under "block" and "scope", where one of these kinds is
+    depth_of = [1]  # how many elements were open when each node on the path was opened, itself included
+    skip = articles = 0
+
+    def last(*names: str) -> int:
+        """The place of the innermost open element of these, or 0."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def kinds(tag: str) -> list[str]:
+        return [tag, *(["#block"] if tag in BLOCK else []), *(["#scope"] if tag in SCOPE else [])]
 
     def close(n: int) -> None:
         """Close elements until n are open."""
         nonlocal node, articles, skip
         while len(open_tags) > n:
             tag = open_tags.pop()
-            articles -= tag in ("article", "main")
+            for kind in kinds(tag):
+                places[kind].pop()
+            articles -= tag in UNITS
             if skip and len(open_tags) < skip:
                 skip = 0
-            if not skip:
-                node = node.parent if node.parent is not None and len(open_tags) < depth_of[-1] else node
-                if len(open_tags) < depth_of[-1] and len(depth_of) > 1:
-                    depth_of.pop()
+            if not skip and len(open_tags) < depth_of[-1] and len(depth_of) > 1:
+                node = node.parent
+                depth_of.pop()
 
-    depth_of = [1]  # how many elements were open when each node on the path was opened, itself included
-    n_page = len(page)
-    while at < n_page:
-        m = TOKEN.search(page, at)
-        if m is None:
+    for tag, text, attrs in tokens(page):
+        if not tag:
             if not skip:
-                node.parts.append(page[at:])
-            break
-        if m.start() > at and not skip:
-            node.parts.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+                node.parts.append(text)
             continue
-        tag = tag.lower()
-        if m[1]:
-            if tag in open_tags and tag not in ("html", "body"):
-                where = len(open_tags) - 1 - open_tags[::-1].index(tag)
-                if tag not in FORMATTING or not any(t in BLOCK for t in open_tags[where + 1 :]):
+        if tag == "/":
+            where = last(text)
+            if where and text not in ("html", "body"):
+                if text not in FORMATTING or last("#block") <= where:
                     close(where)
-            elif tag == "p" and not skip:
-                node.parts.append(Node("p", node, False))
+            elif text == "p" and not skip:
+                node.parts.append(Node("p", node, 0))
             continue
         if tag in ("html", "body"):
             continue
-        if tag in CLOSES_P and "p" in open_tags:
-            where = len(open_tags) - 1 - open_tags[::-1].index("p")
-            if not any(t in SCOPE for t in open_tags[where + 1 :]):
-                close(where)
-        if tag in CLOSES:
-            for where in range(len(open_tags) - 1, 0, -1):
-                if open_tags[where] in CLOSES[tag]:
-                    close(where)
-                    break
-                if open_tags[where] in FENCES[tag]:
-                    break
-        attrs = m[3] or ""
+        if tag in CLOSES_P and (where := last("p")) and last("#scope") <= where:
+            close(where)
+        if tag in CLOSES and (where := last(*CLOSES[tag])) and last(*FENCES[tag]) < where:
+            close(where)
         if tag in VOID:
             if not skip:
-                node.parts.append(Node(tag, node, False))
-            continue
-        if tag in RAW:  # its content is text up to its own end tag
-            lower = page.lower() if lower is None else lower
-            end = lower.find(f"</{tag}", at)
-            if end < 0 or len(lower) != n_page:
-                found = re.compile(f"</{tag}", re.I).search(page, at)
-                end = found.start() if found else -1
-            stop = page.find(">", end) if end >= 0 else -1
-            at = n_page if end < 0 and tag in ("script", "style", "textarea", "title") else at if end < 0 else n_page if stop < 0 else stop + 1
+                node.parts.append(Node(tag, node, 0))
             continue
         if tag not in SCOPE and attrs.endswith("/"):
             continue
+        for kind in kinds(tag):
+            places.setdefault(kind, []).append(len(open_tags))
         open_tags.append(tag)
-        articles += tag in ("article", "main")
+        articles += tag in UNITS
         if skip:
             continue
         drop = dropped(tag, attrs, articles > 0, by_name)
@@ -168,13 +225,23 @@ def parse(page: str, by_name: bool = True) -> Node:
     return root
 
 
-def prune(root: Node) -> Node:
+def heads_comments(n: Node) -> bool:
+    """Does a plain part start with a heading of readers' comments?"""
+    if n.drop or n.tag not in ("div", "section", "ul", "ol"):
+        return False
+    first = next((p for p in n.parts if isinstance(p, Node) or p.strip()), None)
+    return isinstance(first, Node) and first.tag in HEADINGS and len(first.parts) < 9 and COMMENTS.fullmatch(" ".join(html.unescape("".join(p for p in first.parts if isinstance(p, str))).split())) is not None
+
+
+def prune(root: Node, by_name: bool = True) -> Node:
     """Cut the marked parts, apart from those that enclose the page's largest article or main, or most of its text."""
     order, stack = [], [(root, False, False)]
     within: dict[int, tuple[bool, bool]] = {}  # lies in a part beside the text; in an article or main
     while stack:
         n, aside, inside = stack.pop()
         order.append(n)
+        if by_name and heads_comments(n):
+            n.drop = ASIDE
         within[id(n)] = aside, inside
         aside, inside = aside or n.drop == ASIDE, inside or n.tag in UNITS
         stack.extend((p, aside, inside) for p in reversed(n.parts) if isinstance(p, Node))
@@ -250,15 +317,6 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def unit(n: Node) -> Node | None:
-    """The outermost article or main that n lies in, itself included."""
-    found = None
-    while n is not None:
-        found = n if n.tag in UNITS else found
-        n = n.parent
-    return found
-
-
 def select(order: list[Node]) -> list[Node]:
     """Roots of the subtrees that hold the main text, in page order."""
     best = max(order, key=lambda n: n.total)
@@ -268,30 +326,31 @@ def select(order: list[Node]) -> list[Node]:
     while n is not None:
         threshold = min(threshold, n.density)
         n = n.parent
+    top = {id(n): n for n in order}  # of each subtree the node with the largest sum
+    around: dict[int, int] = {}  # characters in outermost articles below each node that encloses some
+    unit: dict[int, Node | None] = {}  # the outermost article or main that each node lies in, itself included
+    for n in order:
+        unit[id(n)] = (unit[id(n.parent)] if n.parent is not None else None) or (n if n.tag in UNITS else None)
+    for n in reversed(order):
+        if n.parent is not None:
+            inner = n.chars if unit[id(n)] is n else around.get(id(n), 0) if unit[id(n)] is None else 0
+            if inner:
+                around[id(n.parent)] = around.get(id(n.parent), 0) + inner
+            if top[id(n)].total >= top[id(n.parent)].total and (top[id(n.parent)] is not n.parent or top[id(n)].total > n.parent.total):
+                top[id(n.parent)] = top[id(n)]
     # the densest subtree, and what stands above the threshold beside it
     chosen: set[int] = set()
     stack = [order[0]]
     while stack:
         n = stack.pop()
         if n.density >= threshold and n.chars:
-            top, below = n, [n]
-            while below:
-                x = below.pop()
-                top = x if x.total > top.total else top
-                below.extend(p for p in x.parts if isinstance(p, Node))
-            chosen.add(id(top))
+            chosen.add(id(top[id(n)]))
         if id(n) not in chosen:
             stack.extend(p for p in n.parts if isinstance(p, Node))
-    units = [n for n in order if n.tag in UNITS and n.chars and unit(n) is n]
-    around: dict[int, int] = {}  # characters in units below each node that encloses some
-    for u in units:
-        n = u.parent
-        while n is not None:
-            around[id(n)] = around.get(id(n), 0) + u.chars
-            n = n.parent
+    units = [n for n in order if unit[id(n)] is n and n.chars]
     # what lies in an article or main is lifted to it; of what consists of such elements for the most part, they are
     # taken with the dense parts beside them
-    picked = {id(u) for n in order if id(n) in chosen and (u := unit(n)) is not None}
+    picked = {id(u) for n in order if id(n) in chosen and (u := unit[id(n)]) is not None}
     for n in order:
         if id(n) in chosen and around.get(id(n), 0) * 2 > n.chars:
             chosen.discard(id(n))
@@ -320,32 +379,33 @@ def blocks(roots: list[Node]) -> list[str]:
     out: list[str] = []
     for root in roots:
         text: list[str] = []
-        stack: list[Node | str] = [root]
+        stack: list[Node | str | None] = [root]  # None ends a block
         while stack:
             x = stack.pop()
             if isinstance(x, str):
-                text.append("\n\0" if x == "\0" else x)
+                text.append(x)
                 continue
-            mark = x.tag in BLOCK
-            if x.tag in ("br", "td", "th"):
-                text.append(" ")
-            if mark:
-                stack.append("\0")
-            stack.extend(reversed(x.parts))
-            if mark:
-                stack.append("\0")
-        for block in "".join(text).split("\n\0"):
-            line = " ".join(html.unescape(block).split())
-            if line:
+            if x is not None:
+                mark = x.tag in BLOCK
+                if x.tag in ("br", "td", "th"):
+                    text.append(" ")
+                if mark:
+                    stack.append(None)
+                stack.extend(reversed(x.parts))
+                if not mark:
+                    continue
+            if line := " ".join(html.unescape("".join(text)).split()):
                 out.append(line)
+            text = []
+        if line := " ".join(html.unescape("".join(text)).split()):
+            out.append(line)
     return out
 
 
 def extract(page: str) -> str:
-    page = page.replace("\0", "")
     text = "\n".join(blocks(select(measure(prune(parse(page))))))
     # a page all of whose text stands under a marked name is read by its elements alone
-    return text or "\n".join(blocks(select(measure(prune(parse(page, by_name=False))))))
+    return text or "\n".join(blocks(select(measure(prune(parse(page, by_name=False), by_name=False)))))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

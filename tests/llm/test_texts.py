@@ -81,6 +81,44 @@ def test_parts_beside_an_article_stay_cut():
     assert re.findall(r"Comment|Card|Search|Paragraph", extract(page)) == ["Paragraph"] * 2
 
 
+@pytest.mark.parametrize("name", ["related-work", "search-results", "social-policy", "notice-period", "with-sidebar"])
+def test_names_of_a_text_are_no_boilerplate(name):
+    page = f"<body><article>{prose('Paragraph', 3)}<p id={name}>More of it.</p><div class='{name}'><p>And <math><mi>x</mi></math> \0 too.</p></div></article></body>"
+    assert extract(page).split("\n")[3:] == ["More of it.", "And x \0 too."]
+
+
+@pytest.mark.parametrize("name", ["site-footer", "related-posts", "cookie-notice", "sidebar-2", "ad", "comments-list", "newsletter-signup-box", "social-share"])
+def test_names_of_boilerplate(name):
+    assert extract(f"<body><div>{prose('Paragraph', 3)}</div><div class={name}>{prose('Other', 2)}</div></body>").count("Other") == 0
+
+
+def test_comments_by_their_heading_alone():
+    for heading in ("Responses", "3 Comments", "Leave a reply", "Comments (12)"):
+        page = f"<body><div><h1>T</h1>{prose('Paragraph', 5)}</div><div><h3>{heading}</h3><div>{prose('Nice', 3)}</div></div></body>"
+        assert re.findall("Nice|Paragraph|Respons", extract(page)) == ["Paragraph"] * 5
+
+
+def test_a_note_in_an_article_does_not_hide_the_text():
+    got = extract(f"<body><article>short note</article><div>{prose('Paragraph', 8)}</div></body>")
+    assert got.count("Paragraph") == 8
+
+
+@pytest.mark.parametrize("part", ["<a x=' ", "<a x=\"' ", "<b>", "</i>", "<div><p>", "<table><span><td>", "<!-- ", "<svg>", "<p><b>x</div>", "<li><ul>", "<b><div></b>", "< ", "<a x='>"])
+def test_long_pages_take_linear_time(part):
+    def took(n):
+        page = part * n + "</i>" * n + "</b>" * n + "text"
+        began = time.perf_counter()
+        extract(page)
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 40 * max(took(1_600), 0.02)
+
+
+def test_a_long_page_is_read_whole():
+    assert extract(f"<body><nav>menu</nav><article>{prose('Paragraph', 20_000)}</article></body>").count("Paragraph") == 20_000
+
+
 def test_deep_nesting_and_long_attributes_end_quickly():
     assert extract("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert extract('<a href="' + "q" * 200_000) is not None
