@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts define it: \x20 and \x09-\x0D. bytes.split() splits on exactly these.
@@ -72,27 +72,22 @@ def mixed(key: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 1)
 
 
-def smallest(rows: DataFrame, by: str, key: str, most: int, seed: int) -> DataFrame:
-    """rank, beside the rows, of those at most `most` rows of each value of `by` with the smallest hash of the key.
-
-    A cut that keeps some eight times as many, from a count of each value, comes before the ranking, so that tasks
-    rank few rows however many there are.
-    """
-    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    cut = F.when(F.col("_n") > 8 * most, (F.lit(8.0 * most * 2**63) / F.col("_n")).cast("bigint")).otherwise(F.lit((1 << 63) - 1))
-    few = rows.join(F.broadcast(counts.select(F.col(by).alias("_by"), cut.alias("_cut"))), F.col(by) == F.col("_by"))
-    few = few.withColumn("_mixed", mixed(F.col(key), seed)).where("_mixed <= _cut").drop("_by", "_cut")
-    return few.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("_mixed", key))).where(F.col("rank") <= most).drop("_mixed")
+def share_below(most: int, n: Column) -> Column:
+    """The value below which a hash from 0 up to 2 ** 63 lies for about `most` of n rows: a bound by a parameter that needs no ranking."""
+    return F.when(n > most, (F.lit(float(most) * 2**63) / n).cast("bigint")).otherwise(F.lit((1 << 63) - 1))
 
 
-def sampled_ids(labels: DataFrame, key: str, label: str, most: int, seed: int) -> DataFrame:
-    """At most `most` (key, label) rows per label value, those with the smallest seeded hash.
+def sampled_ids(labels: DataFrame, key: str, label: str, most: int, seed: int, by_label: bool = True) -> DataFrame:
+    """About `most` (key, label) rows per label value, or in all, those whose seeded hash is small enough for that share.
 
     Bounded by a parameter, so that the result can be broadcast and what is fitted on it can be collected.
     Repeated keys count once, with their largest label; null keys and labels are left out.
     """
     rows = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias(label))
-    return smallest(rows, label, key, most, seed).drop("rank")
+    group = F.col(label) if by_label else F.lit(0)
+    counts = rows.groupBy(group.alias("_by")).agg(F.count(F.lit(1)).alias("_n")).select("_by", share_below(most, F.col("_n")).alias("_cut"))
+    few = rows.join(F.broadcast(counts), group == F.col("_by")).where(mixed(F.col(key), seed) <= F.col("_cut"))
+    return few.select(key, label)
 
 
 def blobs(column: pa.Array) -> list[bytes]:
