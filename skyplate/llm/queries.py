@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, html_text, pii, sentencepiece, simhash, substring
@@ -15,6 +15,11 @@ from .quality_rules import QualityRules
 from .toxicity import Toxicity
 
 
+def is_held(remainder: Column, value: int) -> Column:
+    """A row without an id is in no fold: it is not held out, and nothing is learned from it."""
+    return F.coalesce(remainder == value, F.lit(False))
+
+
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
@@ -25,8 +30,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 0
-    return LineCrf().fit(docs, table(spark, sf_dir, "labels").where(~held)).apply(docs).withColumn("held_out", held)
+    docs, rest = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5)
+    return LineCrf().fit(docs, table(spark, sf_dir, "labels").where(rest != 0)).apply(docs).withColumn("held_out", is_held(rest, 0))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +43,8 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2
-    return LanguageId().fit(docs, ~held).apply(docs).withColumn("held_out", held)
+    docs, rest = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4)
+    return LanguageId().fit(docs, rest != 2).apply(docs).withColumn("held_out", is_held(rest, 2))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +52,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2
-    return Toxicity().fit(docs, table(spark, sf_dir, "labels").where(~held)).apply(docs).withColumn("held_out", held)
+    docs, rest = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4)
+    return Toxicity().fit(docs, table(spark, sf_dir, "labels").where(rest != 2)).apply(docs).withColumn("held_out", is_held(rest, 2))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

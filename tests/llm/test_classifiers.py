@@ -1,11 +1,14 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from skyplate.llm import language_id, line_crf, quality_rules, queries, toxicity
+from skyplate.llm.common import sampled_ids
 from skyplate.llm.language_id import KneserNey, LanguageId, codes, hashes, letters
 from skyplate.llm.line_crf import LineCrf
 from skyplate.llm.quality_rules import QualityRules
@@ -49,6 +52,56 @@ def test_rules_reject_what_labels_call_bad(spark, big_dir):
     assert not got[got.base_failed].kept.any()
 
 
+def slow_path(part, tree_rows, forest, at):
+    """Path length of one row in one tree, walked node by node."""
+    node, depth = at, 0
+    while forest.feature[node] >= 0:
+        node = forest.left[node] if part[forest.feature[node]] <= forest.threshold[node] else forest.right[node]
+        depth += 1
+    inside = [r for r in tree_rows if leaf(forest, at, r) == node]
+    return depth + float(quality_rules.path_norm(len(inside)))
+
+
+def leaf(forest, node, row):
+    while forest.feature[node] >= 0:
+        node = forest.left[node] if row[forest.feature[node]] <= forest.threshold[node] else forest.right[node]
+    return node
+
+
+def test_path_lengths_by_brute_force():
+    """With as many rows as a tree draws, every tree holds all of them, so that its leaves can be counted again."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(64, 3))
+    x[:20, 1] = 0.0
+    forest = quality_rules.IsolationForest(trees=7, rows=64).fit(x)
+    expected = 2 * (np.log(63) + 0.5772156649) - 2 * 63 / 64
+    want = [2 ** (-np.mean([slow_path(r, x, forest, root) for root in forest.roots]) / expected) for r in x]
+    assert forest.score(x) == pytest.approx(np.array(want))
+    assert forest.score(np.array([[9.0, 9.0, 9.0]]))[0] > np.median(want)
+
+
+def test_labels_do_not_change_the_forests(spark, big_dir):
+    docs = spark.read.parquet(f"{big_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{big_dir}/labels.parquet")
+    grown = []
+    for own in (labels, labels.withColumn("quality", F.lit(1) - F.col("quality"))):
+        model = QualityRules()
+        grow = model.grow
+        model.grow = lambda x, grow=grow: grown.append(grow(x)) or grown[-1]
+        model.fit(docs, own)
+    for a, b in zip(*grown, strict=True):
+        assert a.threshold.tolist() == b.threshold.tolist() and a.feature.tolist() == b.feature.tolist()
+
+
+def test_samples_keep_their_bound(spark):
+    rows = [(i, i % 10 and 1, None) for i in range(5000)] + [(i, 0, None) for i in range(100)] + [(None, 1, None)] * 50
+    labels = spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
+    got = sampled_ids(labels, "doc_id", "quality", 300, 7).toPandas()
+    assert got.doc_id.is_unique and got.doc_id.notna().all()
+    assert 220 < (got.quality == 1).sum() < 380 and 220 < (got.quality == 0).sum() < 380
+    assert sampled_ids(labels, "doc_id", "quality", 10_000, 7).count() == 5000
+
+
 def test_rules_on_edge_cases(spark, edge, empty, labels):
     model = QualityRules().fit(edge, labels)
     got = model.apply(edge).collect()
@@ -107,25 +160,63 @@ def test_field_on_edge_cases(spark, edge, empty, labels):
 # ---- language
 
 
-def test_probabilities_of_a_context_sum_to_one():
-    is_letter = letters()
-    words = ["abba", "abc", "cab", "bca"]
-    table = []
-    for g, c, s, n in language_id.gram_counts([" ".join(words)], is_letter, 3):
-        table.append((np.zeros(len(g), dtype=np.int64), g, c, s, n))
-    model = KneserNey(["x"], 3).fit(table)
-    total = 0.0
-    for last in "abc":
-        stream, scored = codes(["ab" + last], is_letter, 3)
-        key = hashes(stream, 3)[np.flatnonzero(scored >= 0)[2]]
-        spot = np.searchsorted(model.grams[2], key)
-        total += model.probs[2][spot, 0] if spot < len(model.grams[2]) and model.grams[2][spot] == key else 0.0
-    assert 0.5 < total < 1.0  # the rest is left to other letters and the word's end
+def slow_kneser_ney(corpora, order, word, language, discount=0.75):
+    """Log probability of a word by the definition, over strings. corpora: language -> words."""
+    edge = "^"
+    grams = {}
+    for x, words in corpora.items():
+        for w in words:
+            t = edge * (order - 1) + w + edge
+            for i in range(order - 1, len(t)):
+                for k in range(1, order + 1):
+                    key = (x, t[i - k + 1 : i + 1])
+                    grams[key] = grams.get(key, 0) + 1
+    letters_ = {g for (_, g) in grams if len(g) == 1}
+    floor = 1 / (len(letters_) + 1 + 256)
+
+    def count(g):
+        if len(g) == order:
+            return grams.get((language, g), 0)
+        return max(len({h for (x, h) in grams if x == language and len(h) == len(g) + 1 and h[1:] == g}), 1) if (language, g) in grams else 0
+
+    def prob(context, c):
+        lower = prob(context[1:], c) if context else floor
+        after = [h for (x, h) in grams if x == language and len(h) == len(context) + 1 and h[:-1] == context]
+        total = sum(count(h) for h in after)
+        if not total:
+            return lower
+        return max(count(context + c) - discount, 0) / total + discount * len(after) / total * lower
+
+    t = edge * (order - 1) + word + edge
+    return sum(np.log(prob(t[i - order + 1 : i], t[i])) for i in range(order - 1, len(t)))
+
+
+def test_scores_by_definition():
+    is_letter, order = letters(), 3
+    corpora = {"x": ["abba", "abc", "cab", "bca", "abc"], "y": ["bbb", "bab", "dab", "cd"]}
+    parts = [language_id.gram_counts(Counter(w), is_letter, order) for w in corpora.values()]
+    table = [tuple(np.concatenate(c) for c in zip(*((np.full(len(p[k][0]), i), *p[k]) for i, p in enumerate(parts)), strict=True)) for k in range(order)]
+    model = KneserNey(list(corpora), order).fit(table)
+    words = ["abba", "ab", "dcba", "zz", "bbbb", "c", "azb"]
+    got, _ = model.word_scores(words, is_letter)
+    want = [[slow_kneser_ney(corpora, order, w, x) for x in corpora] for w in words]
+    assert got == pytest.approx(np.array(want), abs=1e-4)
+
+
+def test_frequent_grams_stay_within_their_bound(spark):
+    rows = [("x", k, g, 0, 0, 1 + g % 40) for k in (0, 1) for g in range(1000)] + [("y", 0, g, 0, 0, 1) for g in range(50)]
+    grams = spark.createDataFrame(rows, "lang string, k int, gram bigint, context bigint, suffix bigint, n bigint")
+    got = LanguageId(most_grams=300)._frequent(grams).toPandas()
+    assert (got.lang == "y").sum() == 50
+    for k in (0, 1):
+        part = got[(got.lang == "x") & (got.k == k)]
+        assert 200 < len(part) <= 380
+        assert (part.n >= 32).sum() == sum(1 + g % 40 >= 32 for g in range(1000))
 
 
 def test_unseen_words_get_finite_scores():
     is_letter = letters()
-    table = [(np.zeros(len(g), dtype=np.int64), g, c, s, n) for g, c, s, n in language_id.gram_counts(["the then them"], is_letter, 4)]
+    table = [(np.zeros(len(g), dtype=np.int64), g, c, s, n) for g, c, s, n in language_id.gram_counts(Counter("the then them".split()), is_letter, 4)]
     model = KneserNey(["en"], 4).fit(table)
     scores, n = model.word_scores(["the", "zzz", "123", "日本"], is_letter)
     assert np.isfinite(scores).all()
@@ -145,7 +236,7 @@ def test_language_on_held_out_rows(spark, big_dir):
 def test_language_on_edge_cases(spark, edge, empty):
     from pyspark.sql import functions as F
 
-    model = LanguageId(per_language=5, held=2).fit(edge, F.lit(True))
+    model = LanguageId(held=2).fit(edge, F.lit(True))
     got = model.apply(edge).collect()
     assert {r.doc_id: r.lang_pred for r in got if r.doc_id in (1, 2, 4)} == {1: "und", 2: "und", 4: "und"}
     assert {r.lang_pred for r in got} == {"und", "x"}
