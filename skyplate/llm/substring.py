@@ -2,14 +2,26 @@
 
 A window is 13 consecutive words. Its fingerprint is the smallest hash among its 5-word sequences: equal windows have
 equal fingerprints, and neighbouring windows mostly share one, so that the index holds about one row for each five
-windows. Each batch of documents is appended as an immutable run, a partition of a table that is bucketed and sorted by
-fingerprint; reading the runs together merges them without a shuffle. Fingerprints that stand in several documents are
-candidates. Their windows are verified by the XXH3 hash of the whole word sequence, grouped over all documents; a window
-is repeated if its hash also starts in a document with a smaller id. compact() rewrites many runs as one.
+windows. Documents come in batches. Each batch leaves two immutable sorted runs, bucketed by fingerprint: its
+fingerprints (fp, doc), and the verified windows (fp, h, first) of fingerprints that several documents share, where h
+hashes all 13 words and first is the smallest document that has them. A batch is merge-joined with the runs of the
+batches before it, bucket by bucket and without a shuffle of history:
+
+* fingerprints that stand in history or in two documents of the batch make candidates;
+* a candidate that only one earlier document holds has that document's windows computed now, from its compressed text,
+  which lies bucketed by id beside the index and is not moved for that; candidates that more of them hold have theirs in
+  the runs already;
+* windows are equal if both the fingerprint (64 bits of 5 words) and h (64 bits of 13 words) are;
+* words are cut out of the new texts alone.
+
+compact() merges the runs into one. Documents never lose words to later batches, so that batches in the order of ids
+give what one batch of all would.
 
 Contract on edge cases: a null or empty text has no words; a document without an id takes no part and keeps its words;
-rows that repeat an id count as one document, so that they never remove each other's words; an empty table gives an
-empty result; other columns are ignored.
+rows that repeat an id count as one document, so that they never remove each other's words; ids are of any type that
+has an order; an empty table gives an empty result; other columns are ignored, whatever their names. A very long text is
+scanned in memory in proportion to its length. Ties: of documents with the same window all but the one with the smallest
+id lose it, and within a document every occurrence counts.
 """
 
 from __future__ import annotations
@@ -25,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, blobs, joined, materialize, pieces, shared_folder
+from .common import SPACE, WRITTEN, blobs, discard, joined, materialize, pieces, shared_folder
 
 WINDOW = 13
 GRAM = 5
@@ -87,67 +99,100 @@ def doc_fingerprints(docs: list[bytes]) -> Iterator[tuple[int, int, np.ndarray,
 
 
 class FingerprintIndex:
-    """Runs of (fp, doc), sorted by fp in `buckets` buckets, in the shared folder. most_runs: append() compacts beyond that."""
+    """Sorted runs in `buckets` buckets in the shared folder. most_runs: a batch that finds as many compacts them first."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, most_runs: int = 8):
-        self.spark, self.most_runs, self.runs = spark, most_runs, 0
+    def __init__(self, spark: SparkSession, id_type: str = "bigint", buckets: int | None = None, most_runs: int = 8):
+        self.spark, self.kind, self.most_runs, self.runs, self.live = spark, id_type, most_runs, 0, 0
         self.buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        self._rename()
-
-    def _rename(self) -> None:
-        self.name = f"runs_{uuid.uuid4().hex}"
-        self.path = f"{shared_folder(self.spark)}/{self.name}"
-
-    def append(self, docs: DataFrame, batches: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Append docs as that many runs, each a range of ids between quantiles."""
-        ids = docs.where(F.col(id_col).isNotNull())
-        cuts = sorted(set(ids.approxQuantile(id_col, [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
-        run = F.lit(self.runs)
-        for c in cuts:
-            run = run + (F.col("doc") > F.lit(int(c))).cast("int")
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                number = batch.column(0).to_numpy()
-                for a, b, fp, counts in doc_fingerprints(blobs(batch.column(1))):
-                    of = np.repeat(np.arange(a, b), np.maximum(counts - WINDOW + 1, 0))
-                    fresh = np.ones(len(fp), dtype=bool)
-                    fresh[1:] = (fp[1:] != fp[:-1]) | (of[1:] != of[:-1])
-                    fp, of = fp[fresh], of[fresh]
-                    order = np.lexsort((fp, of))
-                    fp, of = fp[order], of[order]
-                    fresh = np.ones(len(fp), dtype=bool)
-                    fresh[1:] = (fp[1:] != fp[:-1]) | (of[1:] != of[:-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(fp[fresh]), pa.array(number[of[fresh]])], names=["fp", "doc"])
-
-        rows = ids.select(F.col(id_col).cast("bigint").alias("doc"), text_col).mapInArrow(scan, "fp bigint, doc bigint")
-        self._write(rows.withColumn("run", run), "append" if self.runs else "errorifexists")
-        self.runs += len(cuts) + 1
-        if self.runs > self.most_runs:
-            self.compact()
-
-    def _write(self, rows: DataFrame, mode: str) -> None:
-        dealt = rows.repartition(self.buckets, "fp").sortWithinPartitions("run", "fp")
-        dealt.write.mode(mode).option("path", self.path).option("compression", "zstd").partitionBy("run").bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(self.name)
+        self.tables: dict[str, str] = {}  # fingerprints, windows, texts: name of the table, which is also its folder
+
+    def _write(self, kind: str, rows: DataFrame, run: int, by: str, order: list[str]) -> None:
+        name = self.tables.setdefault(kind, f"{kind}_{uuid.uuid4().hex}")
+        path = f"{shared_folder(self.spark)}/{name}"
+        dealt = rows.withColumn("run", F.lit(run)).repartition(self.buckets, by).sortWithinPartitions(*order)
+        fresh = path not in WRITTEN
+        dealt.write.mode("errorifexists" if fresh else "append").option("path", path).option("compression", "zstd").partitionBy("run").bucketBy(self.buckets, by).sortBy(by).saveAsTable(name)
+        if fresh:
+            WRITTEN.append(path)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(self.spark, f"{shared_folder(self.spark)}/{name}")
+
+    def drop(self, *kinds: str) -> None:
+        """Drop tables (all of them by default) and delete their files."""
+        for kind in kinds or list(self.tables):
+            self._drop(self.tables.pop(kind))
 
     def compact(self) -> None:
-        """All runs become one; the old ones are dropped."""
-        old, rows = self.name, self.postings().distinct()
-        self._rename()
-        self.runs = 1
-        self._write(rows.withColumn("run", F.lit(0)), "errorifexists")
-        self.spark.sql(f"DROP TABLE {old}")
+        """All runs become one; the old ones are deleted."""
+        last, self.live = self.runs - 1, 1
+        for kind, rows, order in (("fingerprints", self.fingerprints().select("fp", "doc").distinct(), ["fp", "doc"]), ("windows", self._firsts(self.windows()), ["fp", "h"])):
+            old = self.tables.pop(kind)
+            self._write(kind, rows, last, "fp", order)
+            self._drop(old)
+
+    def fingerprints(self) -> DataFrame:
+        """fp, doc, run."""
+        return self.spark.table(self.tables["fingerprints"])
+
+    def windows(self) -> DataFrame:
+        """fp, h, first, run."""
+        return self.spark.table(self.tables["windows"])
+
+    @staticmethod
+    def _firsts(windows: DataFrame) -> DataFrame:
+        return windows.groupBy("fp", "h").agg(F.min("first").alias("first"))
+
+    def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Add a batch (id, text), ids not null. Returns its compressed texts (id, body) and, of documents that lose words, id and hits: (fp, h) of the windows that a document with a smaller id has too."""
+        if self.live >= self.most_runs:
+            self.compact()
+        k, self.runs, self.live = self.runs, self.runs + 1, self.live + 1
+        self._write("texts", packed(docs), k, "id", ["id"])
+        texts = self.spark.table(self.tables["texts"])
+        self._write("fingerprints", doc_postings(docs.select("id", "text"), self.kind), k, "fp", ["fp", "doc"])
+        new, old = self.fingerprints().where(F.col("run") == k), self.fingerprints().where(F.col("run") < k)
+        shared = new.groupBy("fp").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+        history = old.groupBy("fp").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+        shared = shared.join(history.hint("merge"), "fp", "left").where("low < high or first is not null")
+        # a window whose fingerprint no smaller id has can't be repeated; it only stands for the first document with its hash
+        alone = (F.col("doc") == F.col("low")) & ~F.coalesce(F.col("first") < F.col("doc"), F.lit(False))
+        candidates = new.join(shared.hint("merge"), "fp").groupBy("doc").agg(F.collect_set(F.when(alone, F.col("fp"))).alias("own"), F.collect_set(F.when(~alone, F.col("fp"))).alias("fps"))
+        opened = shared.where("first = last").groupBy(F.col("first").alias("doc")).agg(F.collect_set("fp").alias("own"), F.array().cast("array<bigint>").alias("fps"))
+        found = windows_in(texts.where(F.col("run") == k), candidates, self.kind).unionByName(windows_in(texts.where(F.col("run") < k), opened, self.kind))
+        found = materialize(found, "windows")
+        path = WRITTEN[-1]
+        firsts = self._firsts(found.select("fp", "h", F.col("doc").alias("first")))
+        if "windows" in self.tables:
+            known = self._firsts(self.windows()).withColumnRenamed("first", "known")
+            firsts = firsts.join(known.hint("merge"), ["fp", "h"], "left").select("fp", "h", F.least("first", "known").alias("first"))
+        self._write("windows", firsts, k, "fp", ["fp", "h"])
+        run = self.windows().where(F.col("run") == k).drop("run")
+        hits = found.where("probe").join(run.hint("merge"), ["fp", "h"]).where("doc > first")
+        hits = hits.groupBy(F.col("doc").alias("id")).agg(F.collect_set(F.struct("fp", "h")).alias("hits"))
+        hits = materialize(hits, "hits")
+        discard(self.spark, path)
+        return texts.where(F.col("run") == k).select("id", "body"), hits
+
+
+def doc_postings(docs: DataFrame, kind: str) -> DataFrame:
+    """fp, doc: the distinct fingerprints of the windows of each text of docs (id, text)."""
 
-    def postings(self) -> DataFrame:
-        return self.spark.table(self.name).select("fp", "doc")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, fp, counts in doc_fingerprints(blobs(batch.column(1))):
+                of = np.repeat(np.arange(a, b), np.maximum(counts - WINDOW + 1, 0))
+                fresh = np.ones(len(fp), dtype=bool)
+                fresh[1:] = (fp[1:] != fp[:-1]) | (of[1:] != of[:-1])
+                fp, of = fp[fresh], of[fresh]
+                order = np.lexsort((fp, of))
+                fp, of = fp[order], of[order]
+                fresh = np.ones(len(fp), dtype=bool)
+                fresh[1:] = (fp[1:] != fp[:-1]) | (of[1:] != of[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(fp[fresh]), batch.column(0).take(pa.array(of[fresh]))], names=["fp", "doc"])
 
-    def candidates(self) -> DataFrame:
-        """doc, own, fps: the fingerprints of each document that also stand in another; in `own` those that no smaller id has. Merges the sorted runs bucket by bucket."""
-        rows = self.postings()
-        shared = rows.groupBy("fp").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("fp", "low")
-        joined_ = rows.join(shared.hint("merge"), "fp")
-        first = F.col("doc") == F.col("low")
-        return joined_.groupBy("doc").agg(F.collect_set(F.when(first, F.col("fp"))).alias("own"), F.collect_set(F.when(~first, F.col("fp"))).alias("fps"))
+    return docs.mapInArrow(scan, f"fp bigint, doc {kind}")
 
 
 def windows_of(text: bytes, at: np.ndarray) -> list[int]:
@@ -160,13 +205,11 @@ def windows_of(text: bytes, at: np.ndarray) -> list[int]:
     return [digest(whole[i:j]) for i, j in zip(starts[at].tolist(), ends[at + WINDOW - 1].tolist(), strict=True)]
 
 
-def candidate_windows(text: bytes, fps: list[int]) -> np.ndarray:
-    """Distinct hashes of the windows whose fingerprint is in fps."""
-    if not fps:
-        return np.zeros(0, dtype=np.int64)
-    fp, _ = window_fingerprints([text])
-    at = np.flatnonzero(np.isin(fp.view(np.int64), np.asarray(fps, dtype=np.int64)))
-    return np.unique(np.array(windows_of(text, at) if len(at) else [], dtype=np.uint64).view(np.int64))
+def candidate_windows(text: bytes, fps: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, fingerprint and hash of the windows whose fingerprint is in fps."""
+    fp = window_fingerprints([text])[0].view(np.int64)
+    at = np.flatnonzero(np.isin(fp, np.asarray(fps, dtype=np.int64)))
+    return at, fp[at], np.array(windows_of(text, at) if len(at) else [], dtype=np.uint64).view(np.int64)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -181,36 +224,32 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, body binary")
 
 
-def repeated_windows(bodies: DataFrame, candidates: DataFrame) -> DataFrame:
-    """doc, hashes: the hashes of each document's windows that start in a document with a smaller id too.
-
-    A window whose fingerprint no smaller id has can't be repeated; it only stands for its hash's first document.
-    """
+def windows_in(texts: DataFrame, candidates: DataFrame, kind: str) -> DataFrame:
+    """fp, h, doc, probe: the distinct windows of each text (id, body) whose fingerprint is among the candidates (doc, own, fps); probe: it is in fps."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for number, body, own, fps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if own or fps:
-                    text = unpress(body)
-                    for part, probe in ((own, False), (fps, True)):
-                        h = candidate_windows(text, part)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), number, dtype=np.int64)), pa.array(h), pa.array(np.full(len(h), probe))], names=["doc", "h", "probe"])
+            ids = batch.column(0)
+            for i, (body, own, fps) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                _, fp, h = candidate_windows(unpress(body), own + fps)
+                rows = np.unique(np.stack([fp, h], axis=1), axis=0)
+                probe = np.isin(rows[:, 0], np.asarray(fps, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), ids.take(pa.array(np.full(len(rows), i))), pa.array(probe)], names=["fp", "h", "doc", "probe"])
 
-    rows = bodies.join(candidates.withColumnRenamed("doc", "id"), "id").select(F.col("id").cast("bigint"), "body", "own", "fps").mapInArrow(scan, "doc bigint, h bigint, probe boolean")
-    rows = materialize(rows, "windows")
-    first = rows.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first")
-    return rows.where("probe").join(first, "h").where("doc > first").groupBy("doc").agg(F.collect_set("h").alias("hashes"))
+    rows = texts.join(candidates.withColumnRenamed("doc", "id"), "id").select("id", "body", "own", "fps")
+    return rows.mapInArrow(scan, f"fp bigint, h bigint, doc {kind}, probe boolean")
 
 
-def kept_words(text: bytes, hashes: list[int] | None) -> tuple[int, int, bytes]:
+def kept_words(text: bytes, hits: list[dict] | None) -> tuple[int, int, bytes]:
     """Number of words, number of removed words, kept words joined by one space."""
     words = text.split()
     n = len(words)
-    if not hashes or n < WINDOW:
+    if not hits or n < WINDOW:
         return n, 0, b" ".join(words)
-    h = np.array(windows_of(text, np.arange(n - WINDOW + 1)), dtype=np.uint64).view(np.int64)
-    bad = np.flatnonzero(np.isin(h, np.asarray(hashes, dtype=np.int64)))
+    wanted = {(x["fp"], x["h"]) for x in hits}
+    at, fp, h = candidate_windows(text, [x["fp"] for x in hits])
+    bad = at[np.fromiter((x in wanted for x in zip(fp.tolist(), h.tolist(), strict=True)), dtype=bool, count=len(at))]
     cover = np.zeros(n + 1, dtype=np.int64)
     np.add.at(cover, bad, 1)
     np.add.at(cover, bad + WINDOW, -1)
@@ -218,23 +257,39 @@ def kept_words(text: bytes, hashes: list[int] | None) -> tuple[int, int, bytes]:
     return n, int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
-    """id, text (kept words joined by one space), n_words, n_removed."""
-    index = FingerprintIndex(docs.sparkSession)
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    index.append(plain, batches, "id", "text")
-    kind = docs.schema[id_col].dataType.simpleString()
-    bodies = packed(plain)
-    marked = bodies.join(repeated_windows(bodies, index.candidates()).withColumnRenamed("doc", "id"), "id", "left")
+def cut(texts: DataFrame, hits: DataFrame, id_col: str, kind: str) -> DataFrame:
+    """id, text, n_words, n_removed of compressed texts (id, body) and the windows to remove (id, hits)."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = [kept_words(unpress(t), h) for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             columns = [pa.array([x[2] for x in out], type=pa.binary()).cast(pa.string()), *(pa.array([x[k] for x in out], type=pa.int64()) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "text", "n_words", "n_removed"])
 
-    return marked.select("id", "body", "hashes").mapInArrow(cut, f"`{id_col}` {kind}, text string, n_words bigint, n_removed bigint")
+    rows = texts.join(hits, "id", "left").select("id", "body", "hits")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, text string, n_words bigint, n_removed bigint")
+
+
+def ranges(ids: DataFrame, parts: int) -> list:
+    """Ids at which the ids are cut into so many batches of about the same size, in order."""
+    ends = ids.repartitionByRange(parts, "id").groupBy(F.spark_partition_id()).agg(F.max("id").alias("end")).collect()
+    ends = sorted(r["end"] for r in ends)
+    return sorted({ends[len(ends) * k // parts - 1] for k in range(1, parts) if len(ends) * k // parts})
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, most_runs: int = 2) -> DataFrame:
+    """id, text (kept words joined by one space), n_words, n_removed. The documents enter the index in so many batches, in the order of their ids."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    named, index = plain.where("id is not null"), FingerprintIndex(docs.sparkSession, kind, most_runs=most_runs)
+    cuts = ranges(named.select("id"), batches)
+    out = cut(packed(plain.where("id is null")), plain.limit(0).select("id", F.lit(None).cast("array<struct<fp: bigint, h: bigint>>").alias("hits")), id_col, kind)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        batch = named.where(F.col("id") > F.lit(low)) if low is not None else named
+        out = out.unionByName(cut(*index.add(batch.where(F.col("id") <= F.lit(high)) if high is not None else batch), id_col, kind))
+    index.drop("fingerprints", "windows")  # the result still reads the texts
+    return out
 
 
 def digests(kept: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 import re
 
@@ -314,28 +315,40 @@ def test_repeated_words_by_brute_force(spark, batches):
     assert got == brute_force(docs)
 
 
-def test_runs_merge_alike_after_compaction(spark):
-    docs = passages(3)
-    df = spark.createDataFrame(docs, "doc_id bigint, text string")
-
-    def state(index):
-        return sorted((r.doc, sorted(r.own), sorted(r.fps)) for r in index.candidates().collect())
-
-    whole = FingerprintIndex(spark, 4)
-    whole.append(df)
-    grown = FingerprintIndex(spark, 4, most_runs=3)
-    for k in range(5):
-        grown.append(df.where(f"doc_id % 5 = {k}"))
-    assert grown.runs <= 3
-    assert state(grown) == state(whole)
-
-
-def test_merging_runs_needs_no_shuffle_of_the_index(spark):
-    index = FingerprintIndex(spark, 4)
-    index.append(spark.createDataFrame(passages(), "doc_id bigint, text string"), 2)
-    assert index.runs == 2
-    plan = index.candidates()._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(fp") == 0
+@pytest.mark.parametrize("most_runs", [1, 3, 99])
+def test_batches_and_compaction_change_nothing(spark, most_runs):
+    """Each batch sees only the index; ids are texts."""
+    docs = [(f"{i:05}", t) for i, t in passages(3)]
+    df = spark.createDataFrame(docs, "id string, text string")
+    index, got = FingerprintIndex(spark, "string", 4, most_runs), {}
+    for low, high in (("", "00050"), ("00050", "00100"), ("00100", "00150"), ("00150", "99999")):
+        texts, hits = index.add(df.where((F.col("id") >= low) & (F.col("id") < high)))
+        got |= {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in digests(substring.cut(texts, hits, "id", "string"), "id").collect()}
+        assert index.live <= most_runs + 1
+        assert index.windows().select("run").distinct().count() <= most_runs + 1
+    assert got == brute_force(docs)
+    folders = [substring.shared_folder(spark).removeprefix("file://") + "/" + n for n in index.tables.values()]
+    assert all(os.path.exists(f) for f in folders)
+    index.drop()
+    assert not any(os.path.exists(f) for f in folders)
+
+
+def test_a_later_batch_reads_no_old_text_that_it_does_not_share(spark):
+    """Old documents are read again only where the new batch is the first to share a fingerprint with them; history is not shuffled."""
+    rnd = random.Random(2)
+    old = [(i, words(rnd, 60)) for i in range(20)]
+    index = FingerprintIndex(spark, "bigint", 4)
+    index.add(spark.createDataFrame(old, "id bigint, text string"))
+    seen = []
+    scan = substring.windows_in
+    try:
+        substring.windows_in = lambda texts, candidates, kind: (seen.append(sorted(r.doc for r in candidates.collect())), scan(texts, candidates, kind))[1]
+        index.add(spark.createDataFrame([(100, words(rnd, 60)), (101, old[3][1])], "id bigint, text string"))
+        index.add(spark.createDataFrame([(200, old[3][1] + " " + words(rnd, 20))], "id bigint, text string"))
+    finally:
+        substring.windows_in = scan
+    assert seen == [[101], [3], [200], []]
+    assert "Exchange" not in index.fingerprints().groupBy("fp").agg(F.min("doc"))._jdf.queryExecution().executedPlan().toString()
 
 
 def test_equal_fingerprints_whatever_the_spaces():
@@ -363,6 +376,6 @@ def test_tables(spark, sf_dir):
     assert near == slow_components(fps)
     bench = pd.read_parquet(f"{sf_dir}/benchmark.parquet")
     plain = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
-    want = {(d.doc_id, b.item_id) for b in bench.itertuples() for d in docs.itertuples() if plain(b.text) in plain(d.text)}
-    leaked = {(r.doc_id, r.item_id) for r in queries.op7_decontamination(spark, sf_dir).collect()}
+    want = {d.doc_id for b in bench.itertuples() for d in docs.itertuples() if plain(b.text) in plain(d.text)}
+    leaked = {r.doc_id for r in queries.op7_decontamination(spark, sf_dir).collect()}
     assert want <= leaked
