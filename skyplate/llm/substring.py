@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -205,11 +206,28 @@ def windows_of(text: bytes, at: np.ndarray) -> list[int]:
     return [digest(whole[i:j]) for i, j in zip(starts[at].tolist(), ends[at + WINDOW - 1].tolist(), strict=True)]
 
 
-def candidate_windows(text: bytes, fps: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place, fingerprint and hash of the windows whose fingerprint is in fps."""
-    fp = window_fingerprints([text])[0].view(np.int64)
-    at = np.flatnonzero(np.isin(fp, np.asarray(fps, dtype=np.int64)))
-    return at, fp[at], np.array(windows_of(text, at) if len(at) else [], dtype=np.uint64).view(np.int64)
+def lists(column: pa.Array, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bounds of each list of a list column, and its values (or the fields of its structs) as flat arrays; null is empty."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(column)
+    parts = [pc.struct_field(flat, f) for f in fields] if fields else [flat]
+    return np.concatenate([[0], np.cumsum(size)]), [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in parts]
+
+
+def candidate_windows(bodies: list[bytes | None], bounds: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """Number, text, and place, fingerprint and hash of the windows whose fingerprint is wanted, of each compressed text for which any is."""
+    unpress = zstandard.ZstdDecompressor().decompress
+    some = np.flatnonzero(np.diff(bounds))
+    for lot in range(0, len(some), 64):
+        part = some[lot : lot + 64].tolist()
+        docs = [unpress(bodies[i]) for i in part]
+        for a, b, fp, counts in doc_fingerprints(docs):
+            ends = np.concatenate([[0], np.cumsum(np.maximum(counts - WINDOW + 1, 0))])
+            for i, doc, start, stop in zip(part[a:b], docs[a:b], ends[:-1], ends[1:], strict=True):
+                own = fp[start:stop]
+                at = np.flatnonzero(np.isin(own, wanted[bounds[i] : bounds[i + 1]]))
+                yield i, doc, at, own[at], np.array(windows_of(doc, at) if len(at) else [], dtype=np.uint64).view(np.int64)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -228,28 +246,45 @@ def windows_in(texts: DataFrame, candidates: DataFrame, kind: str) -> DataFrame:
     """fp, h, doc, probe: the distinct windows of each text (id, body) whose fingerprint is among the candidates (doc, own, fps); probe: it is in fps."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            ids = batch.column(0)
-            for i, (body, own, fps) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
-                _, fp, h = candidate_windows(unpress(body), own + fps)
-                rows = np.unique(np.stack([fp, h], axis=1), axis=0)
-                probe = np.isin(rows[:, 0], np.asarray(fps, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), ids.take(pa.array(np.full(len(rows), i))), pa.array(probe)], names=["fp", "h", "doc", "probe"])
+            (own_at, (own,)), (fps_at, (fps,)) = lists(batch.column(2)), lists(batch.column(3))
+            rest = own_at[:-1] + fps_at[:-1]  # both lists of a text one after the other
+            wanted = np.empty(len(own) + len(fps), dtype=np.int64)
+            wanted[np.arange(len(own)) + np.repeat(rest - own_at[:-1], np.diff(own_at))] = own
+            wanted[np.arange(len(fps)) + np.repeat(rest + np.diff(own_at) - fps_at[:-1], np.diff(fps_at))] = fps
+            found = []
+            for i, _, _, fp, h in candidate_windows(batch.column(1).to_pylist(), own_at + fps_at, wanted):
+                order = np.lexsort((h, fp))
+                fp, h = fp[order], h[order]
+                fresh = np.ones(len(fp), dtype=bool)
+                fresh[1:] = (fp[1:] != fp[:-1]) | (h[1:] != h[:-1])
+                fp, h = fp[fresh], h[fresh]
+                found.append((np.full(len(fp), i), fp, h, np.isin(fp, fps[fps_at[i] : fps_at[i + 1]])))
+            if found:
+                of, fp, h, probe = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(h), batch.column(0).take(pa.array(of)), pa.array(probe)], names=["fp", "h", "doc", "probe"])
 
     rows = texts.join(candidates.withColumnRenamed("doc", "id"), "id").select("id", "body", "own", "fps")
     return rows.mapInArrow(scan, f"fp bigint, h bigint, doc {kind}, probe boolean")
 
 
-def kept_words(text: bytes, hits: list[dict] | None) -> tuple[int, int, bytes]:
-    """Number of words, number of removed words, kept words joined by one space."""
+def both_in(fp: np.ndarray, h: np.ndarray, all_fp: np.ndarray, all_h: np.ndarray) -> np.ndarray:
+    """For each pair (fp, h): is it among the pairs (all_fp, all_h)?"""
+    order = np.argsort(all_h, kind="stable")
+    all_fp, all_h = all_fp[order], all_h[order]
+    if not len(all_h) or not len(h):
+        return np.zeros(len(h), dtype=bool)
+    if (all_h[1:] == all_h[:-1]).any():  # one hash under two fingerprints
+        pairs = set(zip(all_fp.tolist(), all_h.tolist(), strict=True))
+        return np.fromiter((x in pairs for x in zip(fp.tolist(), h.tolist(), strict=True)), dtype=bool, count=len(h))
+    at = np.minimum(np.searchsorted(all_h, h), len(all_h) - 1)
+    return (all_h[at] == h) & (all_fp[at] == fp)
+
+
+def without(text: bytes, bad: np.ndarray) -> tuple[int, int, bytes]:
+    """Number of words, number of words in the windows that start at `bad`, the other words joined by one space."""
     words = text.split()
     n = len(words)
-    if not hits or n < WINDOW:
-        return n, 0, b" ".join(words)
-    wanted = {(x["fp"], x["h"]) for x in hits}
-    at, fp, h = candidate_windows(text, [x["fp"] for x in hits])
-    bad = at[np.fromiter((x in wanted for x in zip(fp.tolist(), h.tolist(), strict=True)), dtype=bool, count=len(at))]
     cover = np.zeros(n + 1, dtype=np.int64)
     np.add.at(cover, bad, 1)
     np.add.at(cover, bad + WINDOW, -1)
@@ -263,7 +298,16 @@ def cut(texts: DataFrame, hits: DataFrame, id_col: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = [kept_words(unpress(t), h) for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            bodies = batch.column(1).to_pylist()
+            bounds, (all_fp, all_h) = lists(batch.column(2), "fp", "h")
+            out: list = [None] * len(bodies)
+            for i, text, at, fp, h in candidate_windows(bodies, bounds, all_fp):
+                own = slice(bounds[i], bounds[i + 1])
+                out[i] = without(text, at[both_in(fp, h, all_fp[own], all_h[own])])
+            for i, body in enumerate(bodies):
+                if out[i] is None:
+                    words = unpress(body).split()
+                    out[i] = len(words), 0, b" ".join(words)
             columns = [pa.array([x[2] for x in out], type=pa.binary()).cast(pa.string()), *(pa.array([x[k] for x in out], type=pa.int64()) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "text", "n_words", "n_removed"])
 
@@ -278,7 +322,7 @@ def ranges(ids: DataFrame, parts: int) -> list:
     return sorted({ends[len(ends) * k // parts - 1] for k in range(1, parts) if len(ends) * k // parts})
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, most_runs: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, most_runs: int = 8) -> DataFrame:
     """id, text (kept words joined by one space), n_words, n_removed. The documents enter the index in so many batches, in the order of their ids."""
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
