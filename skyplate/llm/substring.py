@@ -3,8 +3,8 @@
 A window is 13 consecutive words. Its fingerprint is the smallest hash among its 5-word sequences: equal windows have
 equal fingerprints, and neighbouring windows mostly share one, so that the index holds about one row for each five
 windows. Documents come in batches. Each batch leaves two immutable sorted runs, bucketed by fingerprint: its
-fingerprints (fp, doc), and the verified windows (fp, h, first) of fingerprints that several documents share, where h
-hashes all 13 words and first is the smallest document that has them. A batch is merge-joined with the runs of the
+fingerprints (fp, doc), and the verified windows (fp, h, doc) of fingerprints that several documents share, where h
+hashes all 13 words; compaction leaves the smallest document of each. A batch is merge-joined with the runs of the
 batches before it, bucket by bucket and without a shuffle of history:
 
 * fingerprints that stand in history or in two documents of the batch make candidates;
@@ -35,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, WRITTEN, blobs, discard, joined, materialize, pieces, shared_folder
@@ -128,7 +128,7 @@ class FingerprintIndex:
     def compact(self) -> None:
         """All runs become one; the old ones are deleted."""
         last, self.live = self.runs - 1, 1
-        for kind, rows, order in (("fingerprints", self.fingerprints().select("fp", "doc").distinct(), ["fp", "doc"]), ("windows", self._firsts(self.windows()), ["fp", "h"])):
+        for kind, rows, order in (("fingerprints", self.fingerprints().select("fp", "doc").distinct(), ["fp", "doc"]), ("windows", self.windows().groupBy("fp", "h").agg(F.min("doc").alias("doc")).withColumn("probe", F.lit(False)), ["fp", "h", "doc"])):
             old = self.tables.pop(kind)
             self._write(kind, rows, last, "fp", order)
             self._drop(old)
@@ -138,13 +138,9 @@ class FingerprintIndex:
         return self.spark.table(self.tables["fingerprints"])
 
     def windows(self) -> DataFrame:
-        """fp, h, first, run."""
+        """fp, h, doc, probe, run."""
         return self.spark.table(self.tables["windows"])
 
-    @staticmethod
-    def _firsts(windows: DataFrame) -> DataFrame:
-        return windows.groupBy("fp", "h").agg(F.min("first").alias("first"))
-
     def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Add a batch (id, text), ids not null. Returns its compressed texts (id, body) and, of documents that lose words, id and hits: (fp, h) of the windows that a document with a smaller id has too."""
         if self.live >= self.most_runs:
@@ -162,18 +158,11 @@ class FingerprintIndex:
         candidates = new.join(shared.hint("merge"), "fp").groupBy("doc").agg(F.collect_set(F.when(alone, F.col("fp"))).alias("own"), F.collect_set(F.when(~alone, F.col("fp"))).alias("fps"))
         opened = shared.where("first = last").groupBy(F.col("first").alias("doc")).agg(F.collect_set("fp").alias("own"), F.array().cast("array<bigint>").alias("fps"))
         found = windows_in(texts.where(F.col("run") == k), candidates, self.kind).unionByName(windows_in(texts.where(F.col("run") < k), opened, self.kind))
-        found = materialize(found, "windows")
-        path = WRITTEN[-1]
-        firsts = self._firsts(found.select("fp", "h", F.col("doc").alias("first")))
-        if "windows" in self.tables:
-            known = self._firsts(self.windows()).withColumnRenamed("first", "known")
-            firsts = firsts.join(known.hint("merge"), ["fp", "h"], "left").select("fp", "h", F.least("first", "known").alias("first"))
-        self._write("windows", firsts, k, "fp", ["fp", "h"])
-        run = self.windows().where(F.col("run") == k).drop("run")
-        hits = found.where("probe").join(run.hint("merge"), ["fp", "h"]).where("doc > first")
-        hits = hits.groupBy(F.col("doc").alias("id")).agg(F.collect_set(F.struct("fp", "h")).alias("hits"))
-        hits = materialize(hits, "hits")
-        discard(self.spark, path)
+        self._write("windows", found, k, "fp", ["fp", "h", "doc"])
+        # the smallest document so far of each window; a window of one fingerprint lies in one bucket, and is streamed
+        so_far = Window.partitionBy("fp", "h").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        hits = self.windows().withColumn("first", F.min("doc").over(so_far)).where((F.col("run") == k) & F.col("probe") & (F.col("doc") > F.col("first")))
+        hits = materialize(hits.groupBy(F.col("doc").alias("id")).agg(F.collect_set(F.struct("fp", "h")).alias("hits")), "hits")
         return texts.where(F.col("run") == k).select("id", "body"), hits
 
 
