@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyplate.functions import affine, geo, ratio, text
-from skyplate.functions.casts import int_mod, lenient_double, lenient_long, true_number, true_text
+from skyplate.functions.casts import int_mod, lenient_double, lenient_long, or_zero, true_number, true_text
 from skyplate.operators import aggregate, detect, match, pairwise, relational
-from skyplate.plans import diagram, export, funnel, georeference, rollover, worklists
+from skyplate.plans import diagram, export, features, funnel, georeference, rollover, worklists
 from skyplate.sources import catalog as catalog_source
 from skyplate.sources import charts
 from skyplate.stand_ins import relation, rounded, table, with_sql
@@ -371,13 +372,13 @@ def heading_band_join(spark: SparkSession, d: str) -> DataFrame:
     return match.same_heading(l.where("line_id % 2 = 0").select("page", "line_id", "slope", "heading"), runways, ["page"]).select("page", "line_id", "r_id", "end")
 
 
-@query(f"""{with_sql('lines')}, p AS (SELECT a.page, a.line_id AS a_id, b.line_id AS b_id, a.x1 AS x1, a.y1 AS y1, a.x2 AS x2, a.y2 AS y2, b.x1 AS x3, b.y1 AS y3, b.x2 AS x4, b.y2 AS y4 FROM lines a JOIN lines b ON a.page = b.page WHERE a.line_id % 5 = 0 AND b.line_id % 5 = 1),
+@query(f"""{with_sql('lines')}, p AS (SELECT a.page, a.line_id AS a_id, b.line_id AS b_id, a.x1 AS x1, a.y1 AS y1, a.x2 AS x2, a.y2 AS y2, b.x1 AS x3, b.y1 AS y3, b.x2 AS x4, b.y2 AS y4 FROM lines a JOIN lines b ON a.page = b.page WHERE a.line_id % 2 = 0 AND b.line_id % 2 = 1),
 i AS (SELECT page, a_id, b_id, CASE WHEN d <> 0 THEN ((x1 * y2 - y1 * x2) * (x3 - x4) - (x1 - x2) * (x3 * y4 - y3 * x4)) / d END AS x, CASE WHEN d <> 0 THEN ((x1 * y2 - y1 * x2) * (y3 - y4) - (y1 - y2) * (x3 * y4 - y3 * x4)) / d END AS y FROM (SELECT *, (x1 - x2) * (y3 - y4) - (y1 - y2) * (x3 - x4) AS d FROM p))
 SELECT page, a_id, b_id, round(x, 3) AS x, round(y, 3) AS y FROM i WHERE x BETWEEN 0 AND 400 AND y BETWEEN 0 AND 600""")
 def line_intersections(spark: SparkSession, d: str) -> DataFrame:
     l = relation(spark, d, "lines")  # noqa: E741
-    a = l.where("line_id % 5 = 0").select("page", F.col("line_id").alias("a_id"), *(F.col(c).alias(f"a{c}") for c in ("x1", "y1", "x2", "y2")), F.lit(400.0).alias("width"), F.lit(600.0).alias("height"))
-    b = l.where("line_id % 5 = 1").select("page", F.col("line_id").alias("b_id"), *(F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")))
+    a = l.where("line_id % 2 = 0").select("page", F.col("line_id").alias("a_id"), *(F.col(c).alias(f"a{c}") for c in ("x1", "y1", "x2", "y2")), F.lit(400.0).alias("width"), F.lit(600.0).alias("height"))
+    b = l.where("line_id % 2 = 1").select("page", F.col("line_id").alias("b_id"), *(F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")))
     return rounded(match.cross_lines(a, b, ["page"]).select("page", "a_id", "b_id", "x", "y"), 3, "x", "y")
 
 
@@ -403,10 +404,25 @@ def mismatch_counts(spark: SparkSession, d: str) -> DataFrame:
     return pairwise.mismatches(pairwise.gcp_pairs(relation(spark, d, "gcp"), "pdf_name", "key"), "pdf_name", "key")
 
 
-@query()
+_TARGET = "((((((0.000000000065 * airport_lat - 0.000000010206) * airport_lat + 0.000000614793) * airport_lat - 0.000014000833) * airport_lat + 0.000124430097) * airport_lat + 0.003297052219) * airport_lat + 0.618729977577)"
+
+
+@query(_K3 + f""", e AS (SELECT *, lat + py * ry AS ul_y, lat - abs(height - py) * ry AS lr_y, lon - px * rx AS ul_x, lon + abs(width - px) * rx AS lr_x FROM s),
+f AS (SELECT *, coalesce(ul_x <> 0 AND ul_y <> 0 AND lr_x <> 0 AND lr_y <> 0 AND abs((ul_x - lr_x) / nullif(ul_y - lr_y, 0)) - {_TARGET} < .09, FALSE) AS twice FROM e),
+v AS (SELECT pdf_name || series AS g, pdf_name, series, (pair, turn) AS ord, x FROM (SELECT pdf_name, pair, twice, unnest(['x', 'y', 'ul_x', 'ul_y', 'lr_x', 'lr_y']) AS series, unnest([rx, ry, ul_x, ul_y, lr_x, lr_y]) AS x FROM f), (SELECT unnest([0, 1]) AS turn) WHERE x IS NOT NULL AND (turn = 0 OR twice)),
+m AS (SELECT g, median(x) AS m, coalesce(stddev_samp(x), 0) AS sd FROM v GROUP BY g),
+o AS (SELECT v.*, x < m - sd OR x > m + sd AS outl FROM v JOIN m USING (g)),
+n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY ord) AS rn, row_number() OVER (PARTITION BY g, outl ORDER BY ord) AS rk FROM o),
+h AS (SELECT *, row_number() OVER (PARTITION BY g, outl, rn - rk ORDER BY rn) AS pos FROM n),
+w AS (SELECT pdf_name, series, median(x) AS x FROM h WHERE NOT outl OR pos % 2 = 0 GROUP BY ALL),
+c AS (SELECT pdf_name, count(*) AS gcp_count, any_value(airport_lat) AS airport_lat FROM gcp GROUP BY 1),
+z AS (SELECT c.*, max(x) FILTER (series = 'x') AS sx, max(x) FILTER (series = 'y') AS sy, max(x) FILTER (series = 'ul_x') AS ul_x, max(x) FILTER (series = 'ul_y') AS ul_y, max(x) FILTER (series = 'lr_x') AS lr_x, max(x) FILTER (series = 'lr_y') AS lr_y FROM c LEFT JOIN w USING (pdf_name) GROUP BY ALL),
+k AS (SELECT *, abs((ul_x - lr_x) / nullif(ul_y - lr_y, 0)) AS ratio FROM z)
+SELECT pdf_name, gcp_count, round(sx, 9) AS x, round(sy, 9) AS y, round(ul_x, 6) AS ul_x, round(lr_y, 6) AS lr_y, round(ratio, 6) AS ratio, CASE WHEN gcp_count < 2 OR ratio IS NULL OR abs(ratio - {_TARGET}) > .1 THEN 'AUTOBAD' ELSE 'AUTOGOOD' END AS status FROM k""")
 def georeference_charts(spark: SparkSession, d: str) -> DataFrame:
     """Scales, corners and verdict of each chart: pairs, trimming and acceptance in one plan."""
-    return georeference.estimate(relation(spark, d, "gcp").withColumnRenamed("key", "gcp_key"))
+    out = georeference.estimate(relation(spark, d, "gcp").withColumnRenamed("key", "gcp_key"))
+    return rounded(rounded(out.select("pdf_name", "gcp_count", "x", "y", "ul_x", "lr_y", "ratio", "status"), 9, "x", "y"), 6, "ul_x", "lr_y", "ratio")
 
 
 @query(f"""{with_sql('gcp')}, m AS (SELECT pdf_name, count(*) AS n, avg(px) AS mx, avg(py) AS my, avg(lon) AS mu, avg(lat) AS mv, covar_pop(px, px) AS xx, covar_pop(py, py) AS yy, covar_pop(px, py) AS xy, covar_pop(px, lon) AS xu, covar_pop(py, lon) AS yu, covar_pop(px, lat) AS xv, covar_pop(py, lat) AS yv FROM gcp GROUP BY 1)
@@ -433,7 +449,7 @@ def acceptance(spark: SparkSession, d: str) -> DataFrame:
     return t.select("apt_id", ratio.procedure_status(F.col("ratio"), F.col("lat")).alias("iap"), ratio.diagram_status(F.col("w"), F.col("h"), zero, zero, F.col("ratio"), F.col("lat"), F.col("portrait")).alias("apd"))
 
 
-@query(f"""{with_sql('icon', 'box', 'lines')}, k AS (SELECT * FROM icon WHERE NOT EXISTS (SELECT 1 FROM lines WHERE lines.page = icon.page AND line_id % 7 = 0 AND sqrt((ix - x1) * (ix - x1) + (iy - y1) * (iy - y1)) <= 30)),
+@query(f"""{with_sql('icon', 'box', 'lines')}, k AS (SELECT * FROM icon WHERE NOT EXISTS (SELECT 1 FROM lines WHERE lines.page = icon.page AND sqrt((ix - 20 * x1) * (ix - 20 * x1) + (iy - 20 * y1) * (iy - 20 * y1)) <= 30)),
 p AS (SELECT k.page, icon_id, box_id, icon_type, db_type, ix, iy, sqrt((ix - bx) * (ix - bx) + (iy - by_) * (iy - by_)) AS dist FROM k JOIN box ON k.page = box.page WHERE sqrt((ix - bx) * (ix - bx) + (iy - by_) * (iy - by_)) <= 115),
 a AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY page, icon_id ORDER BY dist, CAST(box_id AS VARCHAR) DESC) = 1), b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY page, box_id ORDER BY dist, CAST(icon_id AS VARCHAR) DESC) = 1)
 SELECT a.page AS pdf_name, concat('navaid-', CAST(a.box_id AS VARCHAR), '-', CAST(a.icon_id AS VARCHAR)) AS gcp_key, round(a.ix * 2, 5) AS px, round(2475 - a.iy * 3, 5) AS py, CAST(40.5 + a.box_id % 10 AS DOUBLE) AS lat FROM a JOIN b ON a.icon_id = b.icon_id AND a.box_id = b.box_id WHERE (a.icon_type NOT LIKE '%VOR%' OR a.icon_type = a.db_type) AND a.ix <> 0 AND a.iy <> 0""")
@@ -441,20 +457,20 @@ def chart_control_points(spark: SparkSession, d: str) -> DataFrame:
     icons = relation(spark, d, "icon").withColumnRenamed("page", "pdf_name")
     box = relation(spark, d, "box").withColumnRenamed("page", "pdf_name").withColumn("text", F.col("box_id").cast("string"))
     db = box.select("pdf_name", "text", "db_type", (40.5 + F.col("box_id") % 10).alias("lat"), F.lit(-100.0).alias("lon"))
-    marks = relation(spark, d, "lines").where("line_id % 7 = 0").select(F.col("page").alias("pdf_name"), F.col("x1").alias("mx"), F.col("y1").alias("my"))
+    marks = relation(spark, d, "lines").select(F.col("page").alias("pdf_name"), (20 * F.col("x1")).alias("mx"), (20 * F.col("y1")).alias("my"))
     pages = icons.select("pdf_name").distinct().select("pdf_name", F.lit(2.0).alias("scale_x"), F.lit(3.0).alias("scale_y"), F.lit(1613.0).alias("png_width"), F.lit(2475.0).alias("png_height"), F.lit(42.0).alias("airport_lat"))
     matched = georeference.match_icons(icons, box.drop("db_type"), db, marks)
     return rounded(georeference.control_points({"navaid": matched}, pages).select("pdf_name", "gcp_key", "px", "py", "lat"), 5, "px", "py")
 
 
-_OBSTACLES = f"{with_sql('apt', 'feat')}, h AS (SELECT DISTINCT apt_id, height FROM apt, feat WHERE feat_id % 3 = apt_id % 3 AND feat_id % 50 < 10), p AS (SELECT apt_id, feat_id, height, sqrt(pow(lat - f_lat, 2) + pow(lon - f_lon, 2)) AS dist FROM apt JOIN feat ON {_BOX(20)} JOIN h USING (apt_id, height) WHERE height > 200)"
+_OBSTACLES = f"{with_sql('apt', 'feat')}, h AS (SELECT DISTINCT apt_id, height FROM apt, feat WHERE feat_id % 50 = apt_id % 50), p AS (SELECT apt_id, feat_id, height, sqrt(pow(lat - f_lat, 2) + pow(lon - f_lon, 2)) AS dist FROM apt JOIN feat ON {_BOX(20)} JOIN h USING (apt_id, height) WHERE height > 200)"
 
 
 def _obstacle_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     apt = relation(spark, d, "apt").withColumnRenamed("apt_id", "pdf_name")
     feat = relation(spark, d, "feat").withColumn("agl", F.col("height"))
-    some = feat.where("feat_id % 50 < 10").select((F.col("feat_id") % 3).alias("r"), "height").distinct()
-    heights = apt.select("pdf_name", (F.col("pdf_name") % 3).alias("r")).join(some, "r").drop("r")
+    some = feat.select((F.col("feat_id") % 50).alias("r"), "height").distinct()
+    heights = apt.select("pdf_name", (F.col("pdf_name") % 50).alias("r")).join(some, "r").drop("r")
     return apt, feat, heights
 
 
@@ -468,11 +484,16 @@ def nearest_obstacles(spark: SparkSession, d: str) -> DataFrame:
     return georeference.obstacles(*_obstacle_inputs(spark, d), nearest_if_many=True).select("pdf_name", "feat_id")
 
 
-@query(f"{with_sql('gcp')} SELECT pdf_name, count(*) AS gcp_count FROM gcp GROUP BY 1 HAVING count(*) >= 3")
+@query(f"""{with_sql('gcp')}, m AS (SELECT pdf_name, count(*) AS gcp_count, avg(px) AS mx, avg(py) AS my, avg(lon) AS mu, avg(lat) AS mv, covar_pop(px, px) AS xx, covar_pop(py, py) AS yy, covar_pop(px, py) AS xy, covar_pop(px, lon) AS xu, covar_pop(py, lon) AS yu, covar_pop(px, lat) AS xv, covar_pop(py, lat) AS yv FROM gcp GROUP BY 1 HAVING count(*) >= 3),
+a AS (SELECT *, (xu * yy - yu * xy) / (xx * yy - xy * xy) AS m11, (yu * xx - xu * xy) / (xx * yy - xy * xy) AS m12, (xv * yy - yv * xy) / (xx * yy - xy * xy) AS m21, (yv * xx - xv * xy) / (xx * yy - xy * xy) AS m22 FROM m),
+c AS (SELECT *, mu - m11 * mx - m12 * my AS ul_x, mv - m21 * mx - m22 * my AS ul_y, mu + m11 * (1613 - mx) + m12 * (2475 - my) AS lr_x, mv + m21 * (1613 - mx) + m22 * (2475 - my) AS lr_y FROM a),
+r AS (SELECT *, abs((ul_x - lr_x) / (ul_y - lr_y)) AS ratio, (((0.000000051883 * 42.0::DOUBLE - 0.000001722090) * 42 + 0.000085600681) * 42 + 0.000722467637) * 42 + 0.657580020775 AS target FROM c)
+SELECT pdf_name, gcp_count, round(ratio, 5) AS ratio, round(target, 6) AS target_ratio, CASE WHEN abs(ul_x - lr_x) > .2 OR abs(ul_y - lr_y) > .12 THEN 'AUTOBAD' WHEN abs(ratio - target) < .1 THEN 'AUTOGOOD' ELSE 'AUTOBAD' END AS status FROM r""")
 def diagram_fit(spark: SparkSession, d: str) -> DataFrame:
     gcp = relation(spark, d, "gcp").select("pdf_name", F.col("px").alias("x"), F.col("py").alias("y"), "lon", "lat")
     pages = gcp.select("pdf_name").distinct().select("pdf_name", F.lit(1613.0).alias("width"), F.lit(2475.0).alias("height"), F.lit(True).alias("portrait"), F.lit(42.0).alias("airport_lat"))
-    return diagram.fit(gcp, pages).where("affine is not null and status is not null").select("pdf_name", "gcp_count")
+    out = diagram.fit(gcp, pages).where("affine is not null").select("pdf_name", "gcp_count", "ratio", "target_ratio", "status")
+    return rounded(rounded(out, 5, "ratio"), 6, "target_ratio")
 
 
 @query(f"""{with_sql('box', 'lines')}, l AS (SELECT *, {_SLOPE} AS slope FROM lines), c AS (SELECT box.page, box_id, CASE WHEN box_id % 4 < 2 THEN 'lat' ELSE 'lon' END AS axis, CAST(box_id % 90 AS DOUBLE) AS value, bx, by_ FROM box),
@@ -617,46 +638,190 @@ def name_sanitise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.procedure_file_name(F.concat(n, F.lit(" (x)/y.z"))).alias("iap"), text.diagram_file_name(F.concat(n, F.lit(" |x/y.z("))).alias("apd"), text.without_spaces(F.col("p_type")).alias("packed"), text.output_name(F.col("p_brand"), n, F.col("p_size").cast("string"), F.col("p_type")).alias("out_name"), text.pdf_base_name(path).alias("base"))
 
 
-@query("SELECT p_partkey, p_type FROM part WHERE contains((SELECT string_agg(t, ' ' ORDER BY t) FROM (SELECT DISTINCT p_brand AS t FROM part WHERE p_size < 10)), replace(p_brand, 'Brand', 'rand'))")
+@query("WITH l AS (SELECT chart, string_agg(t, ' ' ORDER BY t) AS names FROM (SELECT DISTINCT p_size % 5 AS chart, p_brand AS t FROM part WHERE p_size < 10) GROUP BY 1) SELECT p_partkey, p_type FROM part JOIN l ON p_partkey % 5 = chart WHERE contains(names, replace(p_brand, 'Brand', 'rand'))")
 def list_membership(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
-    rows = part.withColumn("t", F.replace("p_brand", F.lit("Brand"), F.lit("rand")))
-    return relational.contained(rows, part.where("p_size < 10").select(F.col("p_brand").alias("name")), "t", "name").select("p_partkey", "p_type")
+    rows = part.select("p_partkey", "p_type", (F.col("p_partkey") % 5).alias("chart"), F.replace("p_brand", F.lit("Brand"), F.lit("rand")).alias("t"))
+    names = part.where("p_size < 10").select((F.col("p_size") % 5).alias("chart"), F.col("p_brand").alias("name"))
+    return relational.contained(rows, names, "t", "name", ["chart"]).select("p_partkey", "p_type")
 
 
 # ---- detectors over drawn content
 
 
-def _streams(spark: SparkSession, d: str) -> DataFrame:
-    s = F.concat(F.lit("q 1 0 0 1 "), F.col("x").cast("string"), F.lit(" "), F.col("y").cast("string"), F.lit(" cm\n0 0 m\n"), F.col("w").cast("string"), F.lit(" "), F.col("h").cast("string"), F.lit(" l\nS\nQ"))
-    return relation(spark, d, "stream").select("page", "stream_no", "w", "h", "x", "y", s.alias("content"))
+_CURVE = "1 -2 .3 4 5 6 c"
+_PLACE = ("q 1 0 0 1 7 -8.5 cm", "0 0 m")
 
 
-@query(f"{with_sql('stream')} SELECT page, stream_no, CAST(x AS DOUBLE) AS x1, CAST(y AS DOUBLE) AS y1, CAST(x + w AS DOUBLE) AS x2, CAST(y + h AS DOUBLE) AS y2 FROM stream WHERE sqrt(w * w + h * h) >= 5")
-def stream_lines(spark: SparkSession, d: str) -> DataFrame:
-    return detect.hits(_streams(spark, d), ["page", "stream_no"], "content", detect.SEGMENT).select("page", "stream_no", "x1", "y1", "x2", "y2")
+def _drawing(*lines: str) -> Column:
+    """Lines of drawing operators; {x}, {y}, {w}, {h} and other names in braces stand for columns."""
+    parts = []
+    for piece in re.split(r"(\{\w+\})", "\n".join(lines)):
+        parts.append(F.col(piece[1:-1]).cast("string") if piece.startswith("{") else F.lit(piece))
+    return F.concat(*parts)
+
+
+_AT = ("q 1 0 0 1 {x} {y} cm", "0 0 m")
+
+
+def _drawn(spark: SparkSession, d: str, *lines: str, **more: Column) -> DataFrame:
+    rows = relation(spark, d, "stream").withColumns({"v": F.col("stream_no") % 3, **more})
+    return rows.select("*", _drawing(*lines).alias("content"))
+
+
+_ON = ["page", "stream_no"]
+
+
+def _found(rows: DataFrame, detector: detect.Detector, *columns: str) -> DataFrame:
+    return detect.hits(rows, _ON, "content", detector).select(*_ON, *columns)
+
+
+@query(f"{with_sql('stream')} SELECT page, stream_no, CAST(x + w AS DOUBLE) AS georef_x, CAST(y AS DOUBLE) AS georef_y, y + (abs(h) + 1) / 2.0::DOUBLE AS center_y, CAST(2 * w AS DOUBLE) AS width FROM stream")
+def obstacle_icons(spark: SparkSession, d: str) -> DataFrame:
+    """A triangle and a dot; a triangle without a dot, and one drawn to the left, are none."""
+    sides = ("{w} 1.5 l", "{k} 2 l", "S", "Q")
+    rows = _drawn(spark, d, *_AT, *sides, *_AT, *sides, *_PLACE, *[_CURVE] * 4, "f*", "Q", *_PLACE, "-3 1 l", "4 1 l", "S", "Q", *_PLACE, *[_CURVE] * 4, "f*", "Q", k=F.abs("h") + 1)
+    return _found(rows, detect.OBSTACLE, "georef_x", "georef_y", "center_y", "width")
+
+
+@query(f"{with_sql('stream')} SELECT page, stream_no, x + w / 2.0::DOUBLE AS georef_x, y + h / 2.0::DOUBLE AS georef_y FROM stream WHERE abs(h) >= 3")
+def fix_icons(spark: SparkSession, d: str) -> DataFrame:
+    """Two sides and the way back, stroked; a closed or an open path is none."""
+    rows = _drawn(spark, d, *_AT, "{w} 9 l", "8 {h} l", "s", "Q", *_AT, "{w} 9 l", "8 {h} l", "0 0 l", "S", "Q", *_AT, "{w} 9 l", "8 {h} l", "S", "Q")
+    return _found(rows, detect.FIX, "georef_x", "georef_y")
+
+
+@query(f"""{with_sql('stream')}, g AS (SELECT *, w - 25 AS x1, h AS y1, h AS x2, w AS y2 FROM stream WHERE stream_no % 3 < 2)
+SELECT page, stream_no, CAST(x + CASE WHEN x1 > 0 AND x2 > 0 THEN 8 WHEN abs(x1) - abs(x2) < 4 THEN 0 WHEN x1 < 0 AND x2 < 0 THEN -8 ELSE abs(x1) - abs(x2) END AS DOUBLE) AS center_x,
+CAST(y + CASE WHEN x1 > 0 AND x2 > 0 THEN 0 WHEN abs(x1) - abs(x2) < 4 THEN 8 WHEN x1 < 0 AND x2 < 0 THEN 0 ELSE abs(y1) - abs(y2) END AS DOUBLE) AS center_y FROM g""")
+def gps_icons(spark: SparkSession, d: str) -> DataFrame:
+    """Stars with 8, 6 or 8, and 2 curves; 5 in the middle make none."""
+    more = F.array_join(F.array_repeat(F.lit(_CURVE), F.when(F.col("stream_no") % 3 == 2, 5).otherwise(6 + 2 * (F.col("stream_no") % 3)).cast("int")), "\n")
+    rows = _drawn(spark, d, *_AT, *[_CURVE] * 8, "{a} {h} l", "{more}", "{h} {w} l", *[_CURVE] * 2, "0 0 l", "f*", "Q", a=F.col("w") - 25, more=more)
+    return _found(rows, detect.GPS, "center_x", "center_y")
+
+
+@query(f"{with_sql('stream')} SELECT page, stream_no, x + (w - 3) / 2.0::DOUBLE AS georef_x, CAST(y - 3 AS DOUBLE) AS georef_y, CAST(w - 3 AS DOUBLE) AS length FROM stream WHERE w - 3 BETWEEN 1 AND 6")
+def vortac_icons(spark: SparkSession, d: str) -> DataFrame:
+    """Three sides and three wedges, plain, with an outline, or with a dot; two wedges are too few."""
+    side, wedge = (*_PLACE, "1 2 l", "S", "Q"), (*_PLACE, "1 2 l", "3 4 l", "5 6 l", "f*", "Q")
+    outline, dot = "\n".join((*_PLACE, "1 2 l", "3 4 l", "5 6 l", "S", "Q\n")), "\n".join((*_PLACE, *[_CURVE] * 4, "f*", "Q\n"))
+    between = F.when(F.col("stream_no") % 3 == 1, outline).when(F.col("stream_no") % 3 == 2, dot).otherwise("")
+    rows = _drawn(spark, d, *_AT, "{len} 0 l", "S", "Q", *side * 2, *wedge * 2, *_AT, "{len} 0 l", "S", "Q", *side * 2, "{between}" + "\n".join(wedge * 3), len=F.col("w") - 3, between=between)
+    return _found(rows, detect.VORTAC, "georef_x", "georef_y", "length")
 
 
-@query(f"{with_sql('stream')} SELECT page, stream_no, CAST(x + w / 2.0 AS DOUBLE) AS center_x, CAST(w AS DOUBLE) AS width, CAST(h * 3 AS DOUBLE) AS height FROM stream WHERE w BETWEEN 25 AND 300 AND abs(h * 3) BETWEEN 25 AND 500")
+@query(f"{with_sql('stream')} SELECT page, stream_no, x + w / 2.0::DOUBLE AS georef_x, y + h / 2.0::DOUBLE AS georef_y, CAST(h AS DOUBLE) AS height FROM stream WHERE w >= 7 AND h >= 7")
+def vordme_icons(spark: SparkSession, d: str) -> DataFrame:
+    """A box and two angles of the hexagon; a box with one angle is none."""
+    box, angle = (*_AT, "{w} 0 l", "1 1 l", "0 {h} l", "2 2 l", "S", "Q"), (*_PLACE, "1 2 l", "3 4 l", "S", "Q")
+    return _found(_drawn(spark, d, *box, *angle, *box, *angle, *angle), detect.VORDME, "georef_x", "georef_y", "height")
+
+
+@query(f"{with_sql('stream')} SELECT page, stream_no, CAST(x AS DOUBLE) AS center_x, CAST(y AS DOUBLE) AS center_y FROM stream")
+def ndb_icons(spark: SparkSession, d: str) -> DataFrame:
+    """A dot and a ring, with or without a line width between them; a dot alone is none."""
+    dot, ring = (*_AT, *[_CURVE] * 4, "f*"), "\n".join(("", *_PLACE, *[_CURVE] * 8, "S", "Q"))
+    width = F.when(F.col("stream_no") % 2 == 0, "\n.5 w ").otherwise("")
+    return _found(_drawn(spark, d, *dot, "Q", *dot, "Q{width}" + ring, width=width), detect.NDB, "center_x", "center_y")
+
+
+@query(f"{with_sql('stream')} SELECT page, stream_no, x + w / 2.0::DOUBLE AS center_x, y + 3 * h / 2.0::DOUBLE AS center_y, CAST(w AS DOUBLE) AS width, CAST(h * 3 AS DOUBLE) AS height FROM stream WHERE w BETWEEN 25 AND 300 AND abs(h * 3) BETWEEN 25 AND 500")
 def stream_box_gates(spark: SparkSession, d: str) -> DataFrame:
-    t = F.format_string("q 1 0 0 1 %d %d cm\n0 0 m\n%d 0 l\n%d %d l\n0 %d l\ns\nQ", "x", "y", "w", "w", F.col("h") * 3, F.col("h") * 3)
-    return detect.hits(relation(spark, d, "stream").select("page", "stream_no", t.alias("content")), ["page", "stream_no"], "content", detect.INSET).select("page", "stream_no", "center_x", "width", "height")
+    """Closed boxes; the height is that of the third side."""
+    rows = _drawn(spark, d, *_AT, "{w} 0 l", "{w} 77 l", "0 {k} l", "s", "Q", *_AT, "{w} 0 l", "{w} 77 l", "0 {k} l", "0 0 l", "S", "Q", k=F.col("h") * 3)
+    return _found(rows, detect.INSET, "center_x", "center_y", "width", "height")
+
+
+@query(f"{with_sql('stream')} SELECT page, stream_no, x + w * 5 / 2.0::DOUBLE AS center_x, CAST(w * 5 AS DOUBLE) AS width, CAST(h * 9 AS DOUBLE) AS height FROM stream WHERE w * 5 BETWEEN 50 AND 300 AND abs(h * 9) BETWEEN 50 AND 500")
+def partial_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of two or three sides."""
+    side = F.when(F.col("stream_no") % 2 == 0, "\n0 4 l").otherwise("")
+    rows = _drawn(spark, d, *_AT, "{a} 0 l", "5 {k} l{side}", "S", "Q", a=F.col("w") * 5, k=F.col("h") * 9, side=side)
+    return _found(rows, detect.PARTIAL_INSET, "center_x", "width", "height")
+
+
+@query(f"{with_sql('stream')} SELECT page, stream_no, CAST(w * 9 AS DOUBLE) AS width, CAST(h * 60 AS DOUBLE) AS height FROM stream WHERE w * 9 >= 306 AND abs(h * 60) >= 396 AND w * 9 <= 300 UNION ALL SELECT page, stream_no, CAST(w * 6 AS DOUBLE), CAST(h * 20 AS DOUBLE) FROM stream WHERE w * 6 BETWEEN 25 AND 300 AND abs(h * 20) BETWEEN 25 AND 500 AND w * 6 >= 500 / 2.0 AND abs(h * 20) >= 700 / 2.0")
+def large_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of half the page or more both ways, here of a page of 500 x 700."""
+    rows = _drawn(spark, d, *_AT, "{a} 0 l", "{a} 77 l", "0 {k} l", "0 0 l", "S", "Q", a=F.col("w") * 6, k=F.col("h") * 20)
+    found = _found(rows, detect.INSET, "width", "height").withColumns({"pw": F.lit(500.0), "ph": F.lit(700.0)})
+    return detect.large_boxes(found, "pw", "ph").select(*_ON, "width", "height")
+
+
+@query(f"{with_sql('stream')} SELECT page, stream_no, x - abs(h * 7) / 2.0::DOUBLE AS center_x, CAST(y AS DOUBLE) AS center_y, abs(h * 7) / 2.0::DOUBLE AS radius FROM stream WHERE abs(h * 7) >= 50")
+def circle_icons(spark: SparkSession, d: str) -> DataFrame:
+    """Sixteen curves, of which the ninth starts at the diameter; fifteen are none."""
+    rows = _drawn(spark, d, *_AT, *[_CURVE] * 15, "S", "Q", *_AT, *[_CURVE] * 8, "{k} 1 2 3 4 5 c", *[_CURVE] * 7, "S", "Q", k=F.col("h") * 7)
+    return _found(rows, detect.CIRCLE, "center_x", "center_y", "radius")
 
 
-@query(f"{with_sql('stream')} SELECT page, count(*) AS n_streams, count(*) FILTER (sqrt(w * w + h * h) BETWEEN 4 AND 22) AS runway FROM stream GROUP BY page HAVING runway > 0")
+@query(f"{with_sql('stream')} SELECT page, stream_no, CAST(x AS DOUBLE) AS center_x, CAST(y AS DOUBLE) AS center_y FROM stream")
+def scale_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Two squiggles of six lines; one of five is none."""
+    squiggle = ("1 2 l", "3 4 l") * 3
+    return _found(_drawn(spark, d, *_AT, *squiggle, "S", "Q", *_PLACE, *squiggle[:5], "S", "Q", *_AT, *squiggle, "S", "Q", *_PLACE, *squiggle, "S", "Q"), detect.NOT_TO_SCALE, "center_x", "center_y")
+
+
+@query(f"""{with_sql('stream')}, s AS (SELECT *, CASE WHEN stream_no % 3 = 0 THEN 0 ELSE w END AS dx, CASE WHEN stream_no % 3 = 0 THEN w ELSE h END AS dy FROM stream)
+SELECT page, stream_no, CASE WHEN dx = 0 THEN 'vertical' ELSE 'horizontal' END AS axis, CAST(x AS DOUBLE) AS x1, CAST(y AS DOUBLE) AS y1, CAST(x + dx AS DOUBLE) AS x2, CAST(y + dy AS DOUBLE) AS y2 FROM s WHERE (dx = 0 OR dy = 0) AND abs(dx + dy) >= 5""")
+def stream_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Horizontal and vertical lines among such of all slopes."""
+    up = F.col("stream_no") % 3 == 0
+    rows = _drawn(spark, d, *_AT, "{dx} {dy} l", "S", "Q", dx=F.when(up, 0).otherwise(F.col("w")), dy=F.when(up, F.col("w")).otherwise(F.col("h")))
+    return detect.axis_lines(rows, _ON, "content").select(*_ON, "axis", "x1", "y1", "x2", "y2")
+
+
+@query(f"""{with_sql('stream')}, r AS (SELECT *, round(degrees(pi() / 2 - atan2(h, w))) AS heading FROM stream WHERE sqrt(w * w + h * h) BETWEEN 4 AND 22), v AS (SELECT DISTINCT page, y % 180 AS valid FROM stream)
+SELECT page, stream_no, heading FROM r WHERE EXISTS (SELECT 1 FROM v WHERE v.page = r.page AND abs(valid - heading) <= 1)""")
+def runway_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a runway's length whose heading one of the chart's runways has."""
+    found = _found(_drawn(spark, d, *_AT, "{w} {h} l", "S", "Q"), detect.RUNWAY, "heading")
+    valid = relation(spark, d, "stream").select("page", (F.col("y") % 180).cast("double").alias("valid")).distinct()
+    return detect.with_valid_heading(found, valid, ["page"])
+
+
+@query(f"{with_sql('stream')} SELECT page, count(*) AS n_streams, count(*) FILTER (sqrt(w * w + h * h) BETWEEN 4 AND 22) AS runway FROM stream GROUP BY page")
 def stream_feature_counts(spark: SparkSession, d: str) -> DataFrame:
-    streams = _streams(spark, d)
+    streams = _drawn(spark, d, *_AT, "{w} {h} l", "S", "Q")
     found = detect.count_by_kind(detect.hits(streams, ["page"], "content", detect.RUNWAY).select("page", "kind"), ["page"], ["runway"])
-    return streams.groupBy("page").agg(F.count(F.lit(1)).alias("n_streams")).join(found, "page")
+    return streams.groupBy("page").agg(F.count(F.lit(1)).alias("n_streams")).join(found, "page", "left").na.fill(0, ["runway"])
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
     return relation(spark, d, "word").withColumn("page_height", F.lit(792.0))
 
 
-@query(f"{with_sql('word')}, b AS (SELECT page, x_min, y_min, arg_max(text, line_no) AS text, arg_max(x_max, line_no) AS x_max FROM word WHERE regexp_full_match(text, '[1-9][0-9]+') GROUP BY ALL) SELECT page, text, (x_min + x_max) / 2 AS center_x, 792 - y_min - 4 AS center_y FROM b WHERE CAST(text AS INTEGER) <= 30000")
+_LAST = "{with_}, b AS (SELECT page, x_min, y_min, arg_max(text, line_no) AS text, arg_max(x_max, line_no) AS x_max, arg_max(y_max, line_no) AS y_max FROM word WHERE regexp_full_match(text, '{pattern}') GROUP BY ALL)".format
+
+
+@query(_LAST(with_=with_sql("word"), pattern="[1-9][0-9]+") + " SELECT page, text, (x_min + x_max - 1) / 2 AS center_x, 792 - (y_min - 2) - (y_max - (y_min - 2)) / 2 AS center_y, x_max - 1 - x_min AS width, y_max - y_min + 2 AS height FROM b")
 def word_boxes(spark: SparkSession, d: str) -> DataFrame:
-    return detect.obstacle_boxes(_words(spark, d), ["page"]).select("page", "text", "center_x", "center_y")
+    return detect.obstacle_boxes(_words(spark, d), ["page"]).select("page", "text", "center_x", "center_y", "width", "height")
+
+
+@query(_LAST(with_=with_sql("word"), pattern="[A-Z]{{5}}".replace("{{", "{").replace("}}", "}")) + " SELECT page, text, (x_min + x_max) / 2 AS center_x, 792 - y_min AS center_y FROM b WHERE page % 3 <> 0")
+def fix_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Names of five letters, some of which are words that charts print."""
+    own = F.when(F.col("text") == "ABCDE", F.when(F.col("page") % 3 == 0, "SOUTH").otherwise("ABCDE")).otherwise(F.col("text"))
+    got = detect.fix_boxes(_words(spark, d).withColumn("text", own), ["page"])
+    return got.select("page", "text", "center_x", "center_y")
+
+
+@query(f"{with_sql('word')}, n AS (SELECT *, chr(CAST(65 + line_no % 4 AS INTEGER)) || 'BC' AS name FROM word), b AS (SELECT page, x_min, y_min, arg_max(name, line_no) AS text, arg_max(x_max, line_no) AS x_max, arg_max(y_max, line_no) AS y_max FROM n GROUP BY ALL) SELECT page, text, x_min + (x_max - x_min - 1) / 2 AS center_x, 792 - y_min AS center_y, x_max - x_min - 1 AS width FROM b WHERE y_max - y_min <= x_max - x_min - 1 AND abs(x_max - x_min - 1) <= 50 AND contains(CASE page % 3 WHEN 0 THEN 'ABC XYZ' WHEN 1 THEN 'BBC CBC' ELSE 'QQQ' END, text)")
+def navaid_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Names of three letters that stand in the list of their chart's navaids."""
+    words = _words(spark, d).withColumn("text", F.concat(F.char(65 + F.col("line_no") % 4), F.lit("BC")))
+    near = F.when(F.col("page") % 3 == 0, F.array(F.lit("XYZ"), F.lit("ABC"))).when(F.col("page") % 3 == 1, F.array(F.lit("CBC"), F.lit("BBC"))).otherwise(F.array(F.lit("QQQ")))
+    names = words.select("page").distinct().select("page", F.explode(near).alias("name"))
+    return detect.navaid_boxes(words, ["page"], names).select("page", "text", "center_x", "center_y", "width")
+
+
+@query(f"{with_sql('apt')}, b AS (SELECT apt_id, lat, lon, apt_id % 60 - 5 AS v_lat, -(apt_id % 140) + 3 AS v_lon FROM apt), u AS (SELECT apt_id, 'lat' AS axis, lat AS home, CAST(v_lat AS DOUBLE) + .5 AS value FROM b UNION ALL SELECT apt_id, 'lon', lon, CAST(v_lon AS DOUBLE) - .25 FROM b) SELECT apt_id, axis, value FROM u WHERE abs(floor(home)) - floor(abs(value)) <= 1 AND (home < 0) = (value < 0)")
+def coordinates_near(spark: SparkSession, d: str) -> DataFrame:
+    """Printed coordinates that can belong to the airport; the airport's degrees are rounded down with their sign."""
+    b = relation(spark, d, "apt").select("apt_id", "lat", "lon", F.explode(F.array(F.struct(F.lit("lat").alias("axis"), (F.col("apt_id") % 60 - 4.5).cast("double").alias("value")), F.struct(F.lit("lon").alias("axis"), (2.75 - F.col("apt_id") % 140).cast("double").alias("value")))).alias("c"))
+    return detect.near_airport(b.select("apt_id", "lat", "lon", "c.axis", "c.value"), "lat", "lon").select("apt_id", "axis", "value")
 
 
 @query(f"{with_sql('word')}, w AS (SELECT *, lead(text, 1) OVER o AS t1, lead(text, 2) OVER o AS t2 FROM word WINDOW o AS (PARTITION BY page ORDER BY line_no)) SELECT page, line_no, 'lat' AS axis, round(TRY_CAST(replace(text, '-', '') AS DOUBLE) + TRY_CAST(replace(t1, '''', '') AS DOUBLE) / 60, 6) AS value FROM w WHERE regexp_full_match(text, '[0-9]{{2,3}}-?') AND regexp_full_match(t1, '[0-9]{{1,2}}([.][0-9]+)?''?') AND t2 = 'N'")
@@ -690,6 +855,15 @@ def shown_text_groups(spark: SparkSession, d: str) -> DataFrame:
     return detect.text_groups(rows, ["page", "stream_no"], "content").select("page", "stream_no", "text", "x_min", "x_max")
 
 
+@query(f"{with_sql('stream')} SELECT page, stream_no, CASE WHEN stream_no % 2 = 0 THEN 'lat' ELSE 'lon' END AS axis, round(CASE WHEN stream_no % 4 > 1 THEN -1 ELSE 1 END * (x % 180 + (y % 60 + .5) / 60.0::DOUBLE), 6) AS value, CAST(x AS DOUBLE) AS center_x, CAST(abs(y - x) AS DOUBLE) AS height, y = x AS portrait FROM stream")
+def shown_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """Coordinates out of text groups that stand upright, or, as a point, along the page."""
+    n = F.col("stream_no")
+    rows = _drawn(spark, d, "BT", "1 0 0 1 {x} {x} Tm", "({deg}\\260) Tj", "1 0 0 1 {x} {y} Tm", "({min}.5' {side}) Tj", "ET", "BT", "1 0 0 1 3 4 Tm", "(ELEV 17) Tj", "ET", deg=F.col("x") % 180, min=F.col("y") % 60, side=F.when(n % 4 == 0, "N").when(n % 4 == 1, "E").when(n % 4 == 2, "S").otherwise("W"))
+    got = detect.text_coordinates(detect.text_groups(rows, _ON, "content"))
+    return rounded(got.select(*_ON, "axis", "value", "center_x", "height", "portrait"), 6, "value")
+
+
 @query(f"{with_sql('stream')} SELECT page, stream_no, x, y FROM stream s WHERE EXISTS (SELECT 1 FROM stream m WHERE m.page = s.page AND m.x = s.x AND m.y = s.y AND m.w > 25)")
 def mask_filter(spark: SparkSession, d: str) -> DataFrame:
     rows = relation(spark, d, "stream").select("page", "stream_no", F.col("x").alias("px"), F.col("y").alias("py"), "w")
@@ -794,3 +968,102 @@ def zoom_range(spark: SparkSession, d: str) -> DataFrame:
 
 
     return export.zooms(table(spark, d, "part"), "p_brand", "p_size")
+
+
+# ---- from drawings and words to control points
+
+
+def _chart_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Charts with dots and rings (navaids), triangles (fixes) and words of three and five letters near them, by position."""
+    ring = ("f*", "Q", *_PLACE, *[_CURVE] * 8, "S", "Q")
+    rows = _drawn(spark, d, "{shape}", shape=F.lit("")).withColumnRenamed("page", "pdf_name").drop("content", "shape")
+    ndb, fix = _drawing(*_AT, *[_CURVE] * 4, *ring), _drawing(*_AT, "{w} 9 l", "8 {k} l", "0 0 l", "S", "Q")
+    rows = rows.withColumn("k", F.abs("h") + 3)
+    streams = rows.select("pdf_name", "stream_no", F.when(F.col("stream_no") % 2 == 0, ndb).otherwise(fix).alias("content"))
+    name = F.concat(F.char(65 + F.col("x") % 20), F.char(65 + F.col("y") % 20), F.char(65 + F.col("stream_no")))
+    text = F.when(F.col("stream_no") % 2 == 0, name).otherwise(F.concat(name, F.lit("XY")))
+    words = rows.select("pdf_name", F.col("stream_no").alias("line_no"), (F.col("x") + 20.0).alias("x_min"), (800.0 - F.col("y")).alias("y_min"), (F.col("x") + 41.0).alias("x_max"), (808.0 - F.col("y")).alias("y_max"), text.alias("text"), F.lit(800.0).alias("page_height"))
+    db = words.select("pdf_name", "text", F.lit("NDB").alias("db_type"), (40.0 + F.col("line_no")).alias("lat"), F.lit(-100.0).alias("lon")).distinct()
+    return streams, words, db
+
+
+_CHARTS = f"""{with_sql('stream')}, d AS (SELECT page AS pdf_name, stream_no, x, y, w, abs(h) + 3 AS k, stream_no % 2 = 0 AS navaid, chr(CAST(65 + x % 20 AS INTEGER)) || chr(CAST(65 + y % 20 AS INTEGER)) || chr(CAST(65 + stream_no AS INTEGER)) || CASE WHEN stream_no % 2 = 0 THEN '' ELSE 'XY' END AS text FROM stream)"""
+
+
+@query(_CHARTS + " SELECT pdf_name, 0::BIGINT AS obstacle, count(*) FILTER (NOT navaid) AS fix, 0::BIGINT AS gps, 0::BIGINT AS vortac, 0::BIGINT AS \"vor/dme\", count(*) FILTER (navaid) AS ndb, 0::BIGINT AS obstacle_boxes, count(DISTINCT (x, y)) FILTER (NOT navaid) AS fix_boxes, count(DISTINCT (x, y)) FILTER (navaid) AS navaid_boxes FROM d GROUP BY 1")
+def chart_features(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols and text boxes of whole charts, counted by kind."""
+    streams, words, _ = _chart_inputs(spark, d)
+    return features.counts(streams, streams, words)
+
+
+@query(_CHARTS + """, i AS (SELECT *, CASE WHEN navaid THEN x ELSE x + w / 2.0::DOUBLE END AS ix, CASE WHEN navaid THEN y ELSE y + k / 2.0::DOUBLE END AS iy, stream_no || '-' || CASE WHEN navaid THEN 'ndb-1-0' ELSE 'fix-0-0' END AS icon_id FROM d),
+b AS (SELECT pdf_name, navaid, x + 20 AS x_min, 800 - y AS y_min, arg_max(text, stream_no) AS text, CASE WHEN navaid THEN x + 30 ELSE x + 30.5 END AS bx, y AS by_ FROM d GROUP BY pdf_name, navaid, x, y),
+t AS (SELECT *, printf('%.1f', x_min::DOUBLE) || '.' || printf('%.1f', y_min::DOUBLE) AS box_id FROM b),
+p AS (SELECT i.pdf_name, i.navaid, icon_id, box_id, t.text, ix, iy, sqrt((ix - bx) * (ix - bx) + (iy - by_) * (iy - by_)) AS dist FROM i JOIN t ON i.pdf_name = t.pdf_name AND i.navaid = t.navaid WHERE sqrt((ix - bx) * (ix - bx) + (iy - by_) * (iy - by_)) <= 115),
+a AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY pdf_name, navaid, icon_id ORDER BY dist, box_id DESC) = 1), c AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY pdf_name, navaid, box_id ORDER BY dist, icon_id DESC) = 1),
+f AS (SELECT DISTINCT pdf_name, text, 40.0::DOUBLE + stream_no AS lat FROM d)
+SELECT a.pdf_name, CASE WHEN a.navaid THEN 'navaid-' ELSE 'fix-' END || a.text || '-' || a.icon_id AS gcp_key, round(a.ix * 2, 5) AS px, round(2475 - a.iy * 3, 5) AS py, lat FROM a JOIN c USING (pdf_name, navaid, icon_id, box_id) JOIN f ON f.pdf_name = a.pdf_name AND f.text = a.text WHERE a.ix <> 0 AND a.iy <> 0 AND floor(a.ix * 2) % 3 <> 0""")
+def chart_points(spark: SparkSession, d: str) -> DataFrame:
+    """Control points from drawings and words, of two classes, under a mask."""
+    streams, words, db = _chart_inputs(spark, d)
+    pages = streams.select("pdf_name").distinct().select("pdf_name", F.lit(2.0).alias("scale_x"), F.lit(3.0).alias("scale_y"), F.lit(1613.0).alias("png_width"), F.lit(2475.0).alias("png_height"), F.lit(42.0).alias("airport_lat"))
+    classes = {"fix": db, "navaid": db}
+    rows, navaid = relation(spark, d, "stream"), F.col("stream_no") % 2 == 0
+    ix, iy = F.col("x") + F.when(navaid, 0.0).otherwise(F.col("w") / 2), F.col("y") + F.when(navaid, 0.0).otherwise((F.abs("h") + 3) / 2)
+    mask = rows.select(F.col("page").alias("pdf_name"), F.floor(ix * 2).alias("px"), F.floor(2475 - iy * 3).alias("py")).distinct().withColumn("keep", F.col("px") % 3 != 0)
+    return rounded(features.chart_points(streams, words, classes, pages, mask=mask).select("pdf_name", "gcp_key", "px", "py", "lat"), 5, "px", "py")
+
+
+# ---- further readers and functions
+
+
+@query("SELECT p_partkey, regexp_extract(p, '^(.*/)', 1) AS folder, regexp_extract(p, '([^/]*)[.]', 1) AS base, '.pdf' AS ext FROM (SELECT p_partkey, '/data/' || p_size || '/' || replace(p_brand, '#', '') || '.pdf' AS p FROM part)")
+def path_parts(spark: SparkSession, d: str) -> DataFrame:
+    p = F.concat(F.lit("/data/"), F.col("p_size").cast("string"), F.lit("/"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(".pdf"))
+    return table(spark, d, "part").select("p_partkey", text.directory(p).alias("folder"), text.base_name(p).alias("base"), text.extension(p).alias("ext"))
+
+
+@query(f"{with_sql('apt')} SELECT apt_id, round(lon, 6) AS tx, round(lat, 6) AS ty, 0.0005::DOUBLE AS m11, -0.0004::DOUBLE AS m22 FROM apt")
+def world_file_parsed(spark: SparkSession, d: str) -> DataFrame:
+    zero = F.lit(0.0)
+    m = charts.parse_world_file(charts.world_file(F.lit(0.0005), zero, zero, F.lit(-0.0004), F.col("lon"), F.col("lat")))
+    return relation(spark, d, "apt").select("apt_id", F.round(m["tx"], 6).alias("tx"), F.round(m["ty"], 6).alias("ty"), m["m11"].alias("m11"), m["m22"].alias("m22"))
+
+
+@query("SELECT o_orderkey, string_agg(l_linenumber || ':' || l_returnflag, chr(10) ORDER BY l_linenumber, l_linenumber || ':' || l_returnflag) AS content FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def whole_streams(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = rows.select(F.col("o_orderkey").alias("pdf_name"), F.col("l_linenumber").alias("stream_no"), F.concat_ws(":", F.col("l_linenumber").cast("string"), "l_returnflag").alias("content"))
+    return charts.whole_stream(rows).withColumnRenamed("pdf_name", "o_orderkey")
+
+
+@query(f"{with_sql('apt')} SELECT apt_id, CAST(1000 + apt_id % 700 AS INTEGER) AS width, CAST(2475 AS INTEGER) AS height, round(lon, 6) AS ul_lon, round(lat, 6) AS ul_lat, round(lon + 0.5, 6) AS lr_lon, 0.0005::DOUBLE AS x_pixel, round(least(500.0 / (1000 + apt_id % 700), 900 / 2475.0::DOUBLE), 9) AS scale FROM apt")
+def raster_info(spark: SparkSession, d: str) -> DataFrame:
+    """A raster tool's report read back, and the scale that fits the raster into a window."""
+    w = 1000 + F.col("apt_id") % 700
+    report = F.format_string("Driver: x\nSize is %d, 2475\nOrigin = (%.6f,%.6f)\nPixel Size = (0.0005,-0.0004)\nUpper Left  (  %.6f,  %.6f) ( 71d)\nLower Right ( %.6f, %.6f)", w, "lon", "lat", "lon", "lat", F.col("lon") + 0.5, F.col("lat") - 0.7)
+    rows = relation(spark, d, "apt").select("apt_id", charts.parse_info(report).alias("i"), geo.fit_scale(w, F.lit(2475), F.lit(500.0), F.lit(900.0)).alias("scale"))
+    return rounded(rows.select("apt_id", "i.width", "i.height", "i.ul_lon", "i.ul_lat", "i.lr_lon", "i.x_pixel", "scale"), 9, "scale")
+
+
+@query("SELECT c_custkey, coalesce(TRY_CAST(regexp_extract(t, '^\\s*([+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?)', 1) AS DOUBLE), 0) AS number FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN CAST(c_custkey AS VARCHAR) || ' ft' WHEN 2 THEN NULL ELSE 'x' || CAST(c_custkey AS VARCHAR) END AS t FROM customer)")
+def numbers_in_context(spark: SparkSession, d: str) -> DataFrame:
+    """Texts where a number is wanted: nothing, and what is no number, count 0."""
+    k = F.col("c_custkey")
+    t = F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(k.cast("string"), F.lit(" ft"))).when(k % 4 == 3, F.concat(F.lit("x"), k.cast("string")))
+    return table(spark, d, "customer").select("c_custkey", or_zero(lenient_double(t)).alias("number"))
+
+
+_KINDS = "CASE c_custkey % 6 WHEN 0 THEN 'VOR/DME' WHEN 1 THEN 'vortac' WHEN 2 THEN 'VOT' WHEN 3 THEN 'NDB' WHEN 4 THEN 'TACAN' END"
+_USES = "CASE c_custkey % 4 WHEN 0 THEN 'REP-PT' WHEN 1 THEN 'low rep-pt' WHEN 2 THEN 'REP-PT X' END"
+
+
+@query(f"SELECT c_custkey, kind FROM (SELECT c_custkey, {_KINDS} AS kind FROM customer) WHERE (kind ILIKE '%VOR%' OR kind ILIKE '%NDB%') AND NOT kind LIKE '%VOT%'")
+def usable_navaids(spark: SparkSession, d: str) -> DataFrame:
+    return relational.usable_navaids(table(spark, d, "customer").select("c_custkey", F.expr(_KINDS).alias("kind")), "kind")
+
+
+@query(f"SELECT c_custkey, use FROM (SELECT c_custkey, {_USES} AS use FROM customer) WHERE use ILIKE '%REP-PT'")
+def reporting_points(spark: SparkSession, d: str) -> DataFrame:
+    return relational.reporting_points(table(spark, d, "customer").select("c_custkey", F.expr(_USES).alias("use")), "use")

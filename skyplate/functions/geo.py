@@ -127,3 +127,8 @@ def fixed_width(c: Column, unknown: float = -1.0) -> Column:
 
     value = F.when(side.isin("N", "S"), read(2)).when(side.isin("E", "W"), read(3))
     return F.when(side.isin("S", "W"), -value).when(side.isin("N", "E"), value).when(c.isNotNull(), F.lit(unknown))
+
+
+def fit_scale(width: Column, height: Column, most_width: Column, most_height: Column) -> Column:
+    """The smaller of the two scales, so that a picture of this size fits into that one."""
+    return F.least(most_width / F.when(width != 0, width), most_height / F.when(height != 0, height))

@@ -70,10 +70,10 @@ def already(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return work.join(done.select(key), key, "left_semi")
 
 
-def contained(df: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
-    """Rows whose text occurs anywhere in the space-joined sorted list of names. The list is one aggregate of a reference table."""
-    joined = names.agg(F.concat_ws(" ", F.array_sort(F.collect_set(name))).alias("_list"))
-    return df.crossJoin(F.broadcast(joined)).where(F.col("_list").contains(F.col(text))).drop("_list")
+def contained(df: DataFrame, names: DataFrame, text: str, name: str, by: list[str]) -> DataFrame:
+    """Rows whose text occurs anywhere in the space-joined sorted list of their chart's names. The lists are aggregates, joined by chart."""
+    lists = names.groupBy(*by).agg(F.concat_ws(" ", F.array_sort(F.collect_set(name))).alias("_list"))
+    return df.join(lists, by).where(F.col("_list").contains(F.col(text))).drop("_list")
 
 
 def neighbours(df: DataFrame, by: list[str], order: list[str], key: str) -> DataFrame:
@@ -96,3 +96,8 @@ def land_runways(df: DataFrame, ident: str) -> DataFrame:
 def usable_navaids(df: DataFrame, kind: str) -> DataFrame:
     """VORs of all kinds and NDBs, without test facilities."""
     return df.where(like_any(F.col(kind), "%VOR%", "%NDB%") & ~F.col(kind).rlike("VOT"))
+
+
+def reporting_points(df: DataFrame, use: str) -> DataFrame:
+    """Fixes whose use ends in REP-PT, regardless of case."""
+    return df.where(F.col(use).ilike("%REP-PT"))

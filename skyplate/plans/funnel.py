@@ -10,16 +10,22 @@ from skyplate.operators.aggregate import counts
 from skyplate.operators.relational import catalog_join, like_any, not_deleted, outside
 
 
+#: Texts that the counts read as numbers, each parsed once a row: column -> (text, cast).
+NUMBERS = {
+    "_gcps": ("gcp_count", lenient_double), "_text": ("pdftotext", lenient_double), "_target": ("target_ratio", lenient_double), "_ratio": ("ratio", lenient_double),
+    "_x": ("x_scale", lenient_double), "_y": ("y_scale", lenient_double), "_xi": ("x_scale", lenient_long), "_yi": ("y_scale", lenient_long),
+}
+
+
 def conditions() -> tuple[dict[str, Column], dict[str, Column]]:
     """Conditions over catalog rows alone, and over rows of the catalog joined to the results."""
     diagram = (F.col("chart_code") == "APD") & not_deleted(F.col("pdf_name"))
     procedure = (F.col("chart_code") == "IAP") & not_deleted(F.col("pdf_name"))
     military, civil = F.col("military_use").ilike("M"), ~F.col("military_use").ilike("M")
-    gcps, text = lenient_double(F.col("gcp_count")), lenient_double(F.col("pdftotext"))
-    diff = lenient_double(F.col("target_ratio")) - lenient_double(F.col("ratio"))
-    x, y = F.col("x_scale"), F.col("y_scale")
-    scaled = (lenient_double(x) > 0) & (lenient_double(y) > 0)
-    unscaled = (lenient_long(x) < 1) | (lenient_long(y) < 1)
+    gcps, text, x, y = map(F.col, ("_gcps", "_text", "_x", "_y"))
+    diff = F.col("_target") - F.col("_ratio")
+    scaled = (x > 0) & (y > 0)
+    unscaled = (F.col("_xi") < 1) | (F.col("_yi") < 1)
     visual, high = F.col("chart_name").ilike("%VISUAL%"), like_any(F.col("chart_name"), "%HI-%", "%TACAN%")
     joined = {"apd": diagram}
     for name, side in (("military", military), ("civil", civil)):
@@ -41,7 +47,7 @@ def conditions() -> tuple[dict[str, Column], dict[str, Column]]:
         "iap_civil_no_final": with_text & (gcps > 1) & unscaled,
         "iap_civil_no_final_visual": with_text & (gcps > 1) & unscaled & visual,
         "iap_civil_no_final_high": with_text & (gcps > 1) & unscaled & high,
-        "iap_military_good": procedure & military & (gcps > 1) & (lenient_double(x) > 1) & (lenient_double(y) > 1) & diff.between(-0.09, 0.09),
+        "iap_military_good": procedure & military & (gcps > 1) & (x > 1) & (y > 1) & diff.between(-0.09, 0.09),
     }
     return {"iap": procedure, "iap_military": procedure & military}, joined
 
@@ -51,7 +57,8 @@ def funnel(catalog: DataFrame, results: DataFrame) -> DataFrame:
     alone, joined = conditions()
     charts = catalog.where(F.col("chart_code").isin("IAP", "APD") & not_deleted(F.col("pdf_name")))  # what every count asks for
     left = charts.agg(*counts(alone))
-    right = catalog_join(charts, results).agg(*counts(joined))
+    numbers = results.select("pdf_name", *(cast(F.col(text)).alias(n) for n, (text, cast) in NUMBERS.items()))
+    right = catalog_join(charts, numbers).agg(*counts(joined))
     return left.crossJoin(right)  # one row each
 
 

@@ -53,7 +53,7 @@ def to_raster(x: Column, y: Column, scale_x: Column, scale_y: Column, png_height
 
 
 def save_points(gcps: DataFrame, path: str) -> None:
-    """Snapshot of control points, one file set per chart key range; rewriting replaces only the charts in gcps' partitions."""
+    """Snapshot of control points. It replaces the one that is there; merge with that first (resume_points) to keep its charts."""
     gcps.write.mode("overwrite").parquet(path)
 
 
@@ -97,6 +97,17 @@ def parse_vrt(text: Column) -> Column:
     return F.struct(F.regexp_extract(text, r'rasterXSize="(\d+)"', 1).try_cast("int").alias("width"), F.regexp_extract(text, r'rasterYSize="(\d+)"', 1).try_cast("int").alias("height"), F.transform(numbers, lambda n: F.trim(n).try_cast("double")).alias("transform"), source.alias("source"))
 
 
+def parse_info(text: Column) -> Column:
+    """Size, pixel size and corners that a raster tool reports as text: Size is w, h; Pixel Size = (x,y); Upper Left (x, y); Lower Right (x, y)."""
+    n = r"(-?[.\d]+(?:[eE][-+]?\d+)?)"
+
+    def pair(label: str, k: int) -> Column:
+        return F.regexp_extract(text, rf"{label}\s*=?\s*\(\s*{n}\s*,\s*{n}\s*\)", k).try_cast("double")
+
+    size = [F.regexp_extract(text, r"Size is (\d+)\s*,\s*(\d+)", k).try_cast("int") for k in (1, 2)]
+    return F.struct(size[0].alias("width"), size[1].alias("height"), pair("Pixel Size", 1).alias("x_pixel"), pair("Pixel Size", 2).alias("y_pixel"), *(pair(label, k).alias(f"{c}_{x}") for label, c in (("Upper Left", "ul"), ("Lower Right", "lr")) for k, x in ((1, "lon"), (2, "lat"))))
+
+
 def failures(outcomes: DataFrame, key: str, reason: str) -> DataFrame:
     """Charts that failed, and why."""
     return outcomes.where(F.col(reason).isNotNull()).select(key, F.col(reason).alias("reason"))

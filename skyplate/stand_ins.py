@@ -42,7 +42,7 @@ WORD = """word AS (SELECT l_orderkey AS page, l_linenumber * 100000000 + l_partk
 GCP = """gcp AS (SELECT vec_id AS key, label AS pdf_name, 1613 * (CAST(embedding[{0}] AS DOUBLE) + 1) / 2 AS px, 2475 * (CAST(embedding[{1}] AS DOUBLE) + 1) / 2 AS py,
  -71 + 0.0004 * 1613 * (CAST(embedding[{0}] AS DOUBLE) + 1) / 2 + 0.002 * CAST(embedding[{2}] AS DOUBLE) AS lon,
  43 - 0.0003 * 2475 * (CAST(embedding[{1}] AS DOUBLE) + 1) / 2 + 0.002 * CAST(embedding[{3}] AS DOUBLE) AS lat,
- CAST(1613 AS DOUBLE) AS width, CAST(2475 AS DOUBLE) AS height, 42.5 AS airport_lat FROM embeddings WHERE vec_id % 5 = 0)"""
+ CAST(1613 AS DOUBLE) AS width, CAST(2475 AS DOUBLE) AS height, 42.5 AS airport_lat FROM embeddings)"""
 
 ALL = {"apt": APT, "feat": FEAT, "cat": CAT, "geo": GEO, "icon": ICON, "box": BOX, "lines": LINES, "stream": STREAM, "word": WORD, "gcp": GCP}
 BASES = {"apt": "supplier", "feat": "customer", "cat": "orders", "geo": "lineitem", "stream": "lineitem", "word": "lineitem"}

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -5,8 +6,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from skyplate.functions import affine
 from skyplate.operators import aggregate, detect, match, relational
-from skyplate.plans import rollover
+from skyplate.plans import diagram, rollover, worklists
 from skyplate.sources import catalog, charts
 from skyplate.streaming.cycles import follow_cycles
 
@@ -87,8 +89,8 @@ def test_fan_out_and_wrong_header(spark):
 
 def test_squiggle_circle_and_fix_detectors(spark):
     squiggle = "q 1 0 0 1 {} {} cm\n0 0 m\n" + "1.5 2 l\n" * 6 + "S\nQ\n"
-    circle = "q 1 0 0 1 100 200 cm\n0 0 m\n" + "1 2 3 4 5 6 c\n" * 7 + "1 2 3 4 -62 0 c\n" + "1 2 3 4 5 6 c\n" * 8 + "S\nQ\n"
-    fix = "q 1 0 0 1 10 20 cm\n0 0 m\n3 5 l\n6 0 l\ns\nQ\n"
+    circle = "q 1 0 0 1 100 200 cm\n0 0 m\n" + "1 2 3 4 5 6 c\n" * 8 + "-62 0 1 2 3 4 c\n" + "1 2 3 4 5 6 c\n" * 7 + "S\nQ\n"
+    fix = "q 1 0 0 1 10 20 cm\n0 0 m\n3 9 l\n6 5 l\n0 0 l\nS\nQ\n"
     df = spark.createDataFrame([("p", squiggle.format(7, 8) + squiggle.format(9, 9)), ("c", circle), ("f", fix)], "pdf_name string, content string")
     found = {d.kind: detect.hits(df, ["pdf_name"], "content", d).collect() for d in (detect.NOT_TO_SCALE, detect.CIRCLE, detect.FIX)}
     assert [(r.pdf_name, r.center_x) for r in found["not-to-scale"]] == [("p", 7.0)]
@@ -103,7 +105,68 @@ def test_coordinate_words(spark):
     df = spark.createDataFrame([(p, n, t, a, 10.0, b, 18.0, 792.0) for p, n, t, a, b in rows], "pdf_name string, line_no int, text string, x_min double, y_min double, x_max double, y_max double, page_height double")
     got = sorted((r.axis, round(r.value, 4)) for r in detect.coordinate_boxes(df, ["pdf_name"]).collect())
     assert got == [("lat", 40.3833), ("lon", -82.55)]
-    detect.orientation(detect.coordinate_boxes(df, ["pdf_name"]), ["pdf_name"]).collect()
+    up = [("p", n, axis, x, y) for n, (axis, x, y) in enumerate([("lat", 5.0, 10.0), ("lon", 90.0, 700.0), ("lat", 5.01, 60.0), ("lon", 140.0, 700.02)])]
+    across = [("q", n, axis, y, x) for _, n, axis, x, y in up]
+    labels = spark.createDataFrame(up + across, "pdf_name string, line_no int, axis string, center_x double, center_y double")
+    assert dict(map(tuple, detect.orientation(labels, ["pdf_name"]).collect())) == {"p": True, "q": False}
+
+
+def test_numbers_too_long_for_a_height(spark):
+    df = spark.createDataFrame([("p", 1, "123456789012", 0.0, 10.0, 40.0, 18.0, 792.0), ("p", 2, "1234", 0.0, 30.0, 20.0, 38.0, 792.0)], "pdf_name string, line_no int, text string, x_min double, y_min double, x_max double, y_max double, page_height double")
+    got = {r.text: (r.center_x, r.center_y, r.width, r.height) for r in detect.obstacle_boxes(df, ["pdf_name"]).collect()}
+    assert got["1234"] == (9.5, 759.0, 19.0, 10.0) and len(got) == 2
+    assert [r.text for r in detect.obstacle_heights(df, ["pdf_name"]).collect()] == ["1234"]
+
+
+def test_degrees_of_an_airport_are_rounded_down_with_their_sign(spark):
+    rows = [("lon", -71.0, -71.4), ("lon", -70.0, -71.4), ("lon", 71.0, -71.4), ("lat", 41.5, 42.9), ("lat", 40.5, 42.9)]
+    df = spark.createDataFrame([(a, v, 42.9, h) for a, v, h in rows], "axis string, value double, lat double, lon double")
+    assert sorted((r.axis, r.value) for r in detect.near_airport(df, "lat", "lon").collect()) == [("lat", 41.5), ("lon", -71.0)]
+
+
+def test_streams_from_files(spark, tmp_path):
+    for name, n, text in (("A", 2, "BT\nET"), ("A", 1, "q\nQ"), ("B", 10, "S")):
+        (tmp_path / name).mkdir(exist_ok=True)
+        (tmp_path / name / f"{n}.txt").write_text(text)
+    streams = charts.read_streams(spark, f"{tmp_path}/*")
+    assert sorted(map(tuple, streams.collect())) == [("A", 1, "q\nQ"), ("A", 2, "BT\nET"), ("B", 10, "S")]
+    assert {r.pdf_name: r.content for r in charts.whole_stream(streams).collect()} == {"A": "q\nQ\nBT\nET", "B": "S"}
+
+
+def test_tables_over_jdbc_and_by_name(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = spark.createDataFrame([(i, f"F{i}") for i in range(20)], "id int, name string")
+    rows.write.format("jdbc").option("url", url).option("dbtable", "fixes").option("driver", driver).option("createTableColumnTypes", "name varchar(20)").save()
+    got = catalog.read_table(spark, url, "fixes", ("id", 0, 20, 4), driver=driver)
+    assert got.rdd.getNumPartitions() == 4
+    catalog.attach(spark, {"db_fixes": got, "charts": spark.createDataFrame([("F3",)], "name string")})
+    assert [tuple(r) for r in spark.sql("select id, charts.name from charts join db_fixes on charts.name = db_fixes.name").collect()] == [(3, "F3")]
+
+
+def test_snapshot_of_points(spark, tmp_path):
+    schema = "pdf_name string, gcp_key string, pngx double, pngy double, pdfx double, pdfy double, lon double, lat double"
+    points = spark.createDataFrame([("p", "fix-A-1", 1.0, 2.0, 3.0, 4.0, -71.0, 42.0)], schema)
+    charts.save_points(points, f"{tmp_path}/gcp")
+    assert [tuple(r) for r in charts.load_points(spark, f"{tmp_path}/gcp").collect()] == [tuple(r) for r in points.collect()]
+
+
+def test_squares_of_a_true_map_are_square(spark):
+    lat = 42.0
+    k = 1 / math.cos(math.radians(lat))
+    rows = spark.createDataFrame([(-71.0, lat)], "lon double, lat double").withColumn("a", affine.affine(0.001 * k, 0, 0, -0.001, -71.2, 42.2))
+    r = diagram.squareness(rows, "a", 0.25).first()
+    assert r.top == pytest.approx(r.left) and r.angle == pytest.approx(90)
+
+
+def test_a_random_chart_depends_on_the_seed(spark):
+    cat = spark.createDataFrame([(f"P{i}",) for i in range(50)], "pdf_name string")
+    drawn = {worklists.random_chart(cat, seed).first().pdf_name for seed in range(12)}
+    assert len(drawn) > 4 and worklists.random_chart(cat, 3).first() == worklists.random_chart(cat, 3).first()
+
+
+def test_stale_files(spark):
+    df = spark.sql("select date_sub(current_date(), 40) as old, date_sub(current_date(), 3) as new")
+    assert tuple(df.select(rollover.is_stale("old"), rollover.is_stale("new")).first()) == (True, False)
 
 
 def test_text_groups(spark):
