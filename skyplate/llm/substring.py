@@ -110,9 +110,9 @@ class FingerprintIndex:
     def _write(self, kind: str, rows: DataFrame, run: int, by: str, order: list[str]) -> None:
         name = self.tables.setdefault(kind, f"{kind}_{uuid.uuid4().hex}")
         path = f"{shared_folder(self.spark)}/{name}"
-        dealt = rows.withColumn("run", F.lit(run)).repartition(self.buckets, by).sortWithinPartitions(*order)
+        dealt = rows.withColumn("run", F.lit(run)).repartition(self.buckets, by)  # the writer sorts
         fresh = path not in WRITTEN
-        dealt.write.mode("errorifexists" if fresh else "append").option("path", path).option("compression", "zstd").partitionBy("run").bucketBy(self.buckets, by).sortBy(by).saveAsTable(name)
+        dealt.write.mode("errorifexists" if fresh else "append").option("path", path).option("compression", "zstd").partitionBy("run").bucketBy(self.buckets, by).sortBy(*order).saveAsTable(name)
         if fresh:
             WRITTEN.append(path)
 
@@ -155,14 +155,14 @@ class FingerprintIndex:
         shared = shared.join(history.hint("merge"), "fp", "left").where("low < high or first is not null")
         # a window whose fingerprint no smaller id has can't be repeated; it only stands for the first document with its hash
         alone = (F.col("doc") == F.col("low")) & ~F.coalesce(F.col("first") < F.col("doc"), F.lit(False))
-        candidates = new.join(shared.hint("merge"), "fp").groupBy("doc").agg(F.collect_set(F.when(alone, F.col("fp"))).alias("own"), F.collect_set(F.when(~alone, F.col("fp"))).alias("fps"))
-        opened = shared.where("first = last").groupBy(F.col("first").alias("doc")).agg(F.collect_set("fp").alias("own"), F.array().cast("array<bigint>").alias("fps"))
+        candidates = new.join(shared.hint("merge"), "fp").groupBy("doc").agg(F.collect_list(F.when(alone, F.col("fp"))).alias("own"), F.collect_list(F.when(~alone, F.col("fp"))).alias("fps"))
+        opened = shared.where("first = last").groupBy(F.col("first").alias("doc")).agg(F.collect_list("fp").alias("own"), F.array().cast("array<bigint>").alias("fps"))
         found = windows_in(texts.where(F.col("run") == k), candidates, self.kind).unionByName(windows_in(texts.where(F.col("run") < k), opened, self.kind))
         self._write("windows", found, k, "fp", ["fp", "h", "doc"])
         # the smallest document so far of each window; a window of one fingerprint lies in one bucket, and is streamed
         so_far = Window.partitionBy("fp", "h").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         hits = self.windows().withColumn("first", F.min("doc").over(so_far)).where((F.col("run") == k) & F.col("probe") & (F.col("doc") > F.col("first")))
-        hits = materialize(hits.groupBy(F.col("doc").alias("id")).agg(F.collect_set(F.struct("fp", "h")).alias("hits")), "hits")
+        hits = materialize(hits.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("fp", "h")).alias("hits")), "hits")
         return texts.where(F.col("run") == k).select("id", "body"), hits
 
 
@@ -224,7 +224,7 @@ def packed(docs: DataFrame) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3).compress
+        press = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press(t) for t in blobs(batch.column(1))], type=pa.binary())], names=["id", "body"])
 
