@@ -12,7 +12,8 @@ batches before it, bucket by bucket and without a shuffle of history:
   which lies bucketed by id beside the index and is not moved for that; candidates that more of them hold have theirs in
   the runs already;
 * windows are equal if both the fingerprint (64 bits of 5 words) and h (64 bits of 13 words) are;
-* words are cut out of the new texts alone.
+* words are cut out of the new texts alone, at the places of their repeated windows, which the runs hold beside the
+  windows: no text is hashed once more for that.
 
 compact() merges the runs into one. Documents never lose words to later batches, so that batches in the order of ids
 give what one batch of all would.
@@ -47,6 +48,8 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 MIX = np.uint64(0xD6E8FEB86659FD93)
 SLICE = 1 << 20
+#: Bits of a place that number the word; a text below 2 GB has fewer words than that.
+WORD_BITS = 30
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -128,7 +131,8 @@ class FingerprintIndex:
     def compact(self) -> None:
         """All runs become one; the old ones are deleted."""
         last, self.live = self.runs - 1, 1
-        for kind, rows, order in (("fingerprints", self.fingerprints().select("fp", "doc").distinct(), ["fp", "doc"]), ("windows", self.windows().groupBy("fp", "h").agg(F.min("doc").alias("doc")).withColumn("probe", F.lit(False)), ["fp", "h", "doc"])):
+        windows = self.windows().groupBy("fp", "h").agg(F.min("doc").alias("doc")).withColumns({"probe": F.lit(False), "place": F.lit(0).cast("bigint")})
+        for kind, rows, order in (("fingerprints", self.fingerprints().select("fp", "doc").distinct(), ["fp", "doc"]), ("windows", windows, ["fp", "h", "doc"])):
             old = self.tables.pop(kind)
             self._write(kind, rows, last, "fp", order)
             self._drop(old)
@@ -138,11 +142,11 @@ class FingerprintIndex:
         return self.spark.table(self.tables["fingerprints"])
 
     def windows(self) -> DataFrame:
-        """fp, h, doc, probe, run."""
+        """fp, h, doc, probe, place, run."""
         return self.spark.table(self.tables["windows"])
 
     def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Add a batch (id, text), ids not null. Returns its compressed texts (id, body) and, of documents that lose words, id and hits: (fp, h) of the windows that a document with a smaller id has too."""
+        """Add a batch (id, text), ids not null. Returns its compressed texts (id, body) and, of documents that lose words, id and hits: places of the windows that a document with a smaller id has too."""
         if self.live >= self.most_runs:
             self.compact()
         k, self.runs, self.live = self.runs, self.runs + 1, self.live + 1
@@ -162,7 +166,7 @@ class FingerprintIndex:
         # the smallest document so far of each window; a window of one fingerprint lies in one bucket, and is streamed
         so_far = Window.partitionBy("fp", "h").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         hits = self.windows().withColumn("first", F.min("doc").over(so_far)).where((F.col("run") == k) & F.col("probe") & (F.col("doc") > F.col("first")))
-        hits = materialize(hits.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("fp", "h")).alias("hits")), "hits")
+        hits = materialize(hits.groupBy(F.col("doc").alias("id")).agg(F.collect_list("place").alias("hits")), "hits")
         return texts.where(F.col("run") == k).select("id", "body"), hits
 
 
@@ -195,13 +199,16 @@ def windows_of(text: bytes, at: np.ndarray) -> list[int]:
     return [digest(whole[i:j]) for i, j in zip(starts[at].tolist(), ends[at + WINDOW - 1].tolist(), strict=True)]
 
 
-def lists(column: pa.Array, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Bounds of each list of a list column, and its values (or the fields of its structs) as flat arrays; null is empty."""
+def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of each list of a list column, and its values as a flat array; null is empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    flat = pc.list_flatten(column)
-    parts = [pc.struct_field(flat, f) for f in fields] if fields else [flat]
-    return np.concatenate([[0], np.cumsum(size)]), [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in parts]
+    return np.concatenate([[0], np.cumsum(size)]), pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def text_tag(text: bytes) -> int:
+    """The upper bits of places in a text: they tell texts under one id apart."""
+    return xxhash.xxh3_64_intdigest(text) >> (WORD_BITS + 1) << WORD_BITS
 
 
 def candidate_windows(bodies: list[bytes | None], bounds: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
@@ -232,42 +239,29 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def windows_in(texts: DataFrame, candidates: DataFrame, kind: str) -> DataFrame:
-    """fp, h, doc, probe: the distinct windows of each text (id, body) whose fingerprint is among the candidates (doc, own, fps); probe: it is in fps."""
+    """fp, h, doc, probe, place: the windows of each text (id, body) whose fingerprint is among the candidates (doc, own, fps); probe: it is in fps. Those that are not are distinct, without a place."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (own_at, (own,)), (fps_at, (fps,)) = lists(batch.column(2)), lists(batch.column(3))
+            (own_at, own), (fps_at, fps) = lists(batch.column(2)), lists(batch.column(3))
             rest = own_at[:-1] + fps_at[:-1]  # both lists of a text one after the other
             wanted = np.empty(len(own) + len(fps), dtype=np.int64)
             wanted[np.arange(len(own)) + np.repeat(rest - own_at[:-1], np.diff(own_at))] = own
             wanted[np.arange(len(fps)) + np.repeat(rest + np.diff(own_at) - fps_at[:-1], np.diff(fps_at))] = fps
             found = []
-            for i, _, _, fp, h in candidate_windows(batch.column(1).to_pylist(), own_at + fps_at, wanted):
+            for i, text, at, fp, h in candidate_windows(batch.column(1).to_pylist(), own_at + fps_at, wanted):
                 order = np.lexsort((h, fp))
-                fp, h = fp[order], h[order]
+                at, fp, h = at[order], fp[order], h[order]
+                probe = np.isin(fp, fps[fps_at[i] : fps_at[i + 1]])
                 fresh = np.ones(len(fp), dtype=bool)
-                fresh[1:] = (fp[1:] != fp[:-1]) | (h[1:] != h[:-1])
-                fp, h = fp[fresh], h[fresh]
-                found.append((np.full(len(fp), i), fp, h, np.isin(fp, fps[fps_at[i] : fps_at[i + 1]])))
+                fresh[1:] = probe[1:] | (fp[1:] != fp[:-1]) | (h[1:] != h[:-1])
+                found.append((np.full(int(fresh.sum()), i), fp[fresh], h[fresh], probe[fresh], np.where(probe, at + text_tag(text), 0)[fresh]))
             if found:
-                of, fp, h, probe = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(h), batch.column(0).take(pa.array(of)), pa.array(probe)], names=["fp", "h", "doc", "probe"])
+                of, fp, h, probe, place = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(h), batch.column(0).take(pa.array(of)), pa.array(probe), pa.array(place)], names=["fp", "h", "doc", "probe", "place"])
 
     rows = texts.join(candidates.withColumnRenamed("doc", "id"), "id").select("id", "body", "own", "fps")
-    return rows.mapInArrow(scan, f"fp bigint, h bigint, doc {kind}, probe boolean")
-
-
-def both_in(fp: np.ndarray, h: np.ndarray, all_fp: np.ndarray, all_h: np.ndarray) -> np.ndarray:
-    """For each pair (fp, h): is it among the pairs (all_fp, all_h)?"""
-    order = np.argsort(all_h, kind="stable")
-    all_fp, all_h = all_fp[order], all_h[order]
-    if not len(all_h) or not len(h):
-        return np.zeros(len(h), dtype=bool)
-    if (all_h[1:] == all_h[:-1]).any():  # one hash under two fingerprints
-        pairs = set(zip(all_fp.tolist(), all_h.tolist(), strict=True))
-        return np.fromiter((x in pairs for x in zip(fp.tolist(), h.tolist(), strict=True)), dtype=bool, count=len(h))
-    at = np.minimum(np.searchsorted(all_h, h), len(all_h) - 1)
-    return (all_h[at] == h) & (all_fp[at] == fp)
+    return rows.mapInArrow(scan, f"fp bigint, h bigint, doc {kind}, probe boolean, place bigint")
 
 
 def without(text: bytes, bad: np.ndarray) -> tuple[int, int, bytes]:
@@ -282,21 +276,22 @@ def without(text: bytes, bad: np.ndarray) -> tuple[int, int, bytes]:
 
 
 def cut(texts: DataFrame, hits: DataFrame, id_col: str, kind: str) -> DataFrame:
-    """id, text, n_words, n_removed of compressed texts (id, body) and the windows to remove (id, hits)."""
+    """id, text, n_words, n_removed of compressed texts (id, body) and the places of the windows to remove (id, hits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            bodies = batch.column(1).to_pylist()
-            bounds, (all_fp, all_h) = lists(batch.column(2), "fp", "h")
-            out: list = [None] * len(bodies)
-            for i, text, at, fp, h in candidate_windows(bodies, bounds, all_fp):
-                own = slice(bounds[i], bounds[i + 1])
-                out[i] = without(text, at[both_in(fp, h, all_fp[own], all_h[own])])
-            for i, body in enumerate(bodies):
-                if out[i] is None:
-                    words = unpress(body).split()
-                    out[i] = len(words), 0, b" ".join(words)
+            bounds, places = lists(batch.column(2))
+            out = []
+            for body, a, b in zip(batch.column(1).to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                text, own = unpress(body), places[a:b]
+                if b > a:  # leave out those of another text under this id
+                    own = own[own >> WORD_BITS == text_tag(text) >> WORD_BITS] & ((1 << WORD_BITS) - 1)
+                if len(own):
+                    out.append(without(text, own))
+                else:
+                    words = text.split()
+                    out.append((len(words), 0, b" ".join(words)))
             columns = [pa.array([x[2] for x in out], type=pa.binary()).cast(pa.string()), *(pa.array([x[k] for x in out], type=pa.int64()) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "text", "n_words", "n_removed"])
 
@@ -317,7 +312,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     named, index = plain.where("id is not null"), FingerprintIndex(docs.sparkSession, kind, most_runs=most_runs)
     cuts = ranges(named.select("id"), batches)
-    out = cut(packed(plain.where("id is null")), plain.limit(0).select("id", F.lit(None).cast("array<struct<fp: bigint, h: bigint>>").alias("hits")), id_col, kind)
+    out = cut(packed(plain.where("id is null")), plain.limit(0).select("id", F.lit(None).cast("array<bigint>").alias("hits")), id_col, kind)
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         batch = named.where(F.col("id") > F.lit(low)) if low is not None else named
         out = out.unionByName(cut(*index.add(batch.where(F.col("id") <= F.lit(high)) if high is not None else batch), id_col, kind))

@@ -359,6 +359,14 @@ def test_equal_fingerprints_whatever_the_spaces():
     assert len(a) == 2
 
 
+def test_texts_under_one_id_lose_their_own_words(spark):
+    shared = [f"s{i}" for i in range(20)]
+    early, late = " ".join([*shared, "x", "y"]), " ".join(["p", "q", "r", "t", "u", *shared])
+    rows = spark.createDataFrame([(1, " ".join(shared)), (5, early), (5, late), (5, late), (9, late)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in dedup(rows).collect())
+    assert got == [(1, 20, 0, " ".join(shared)), (5, 22, 20, "x y"), (5, 25, 20, "p q r t u"), (5, 25, 20, "p q r t u"), (9, 25, 25, "")]
+
+
 def test_substring_edge_cases(spark, edge, empty):
     got = {(r.doc_id, r.n_words, r.n_removed) for r in dedup(edge).collect()}
     assert got == {(1, 0, 0), (2, 0, 0), (3, 3, 0), (None, 3, 0), (4, 0, 0), (5, 30000, 0), (6, 1, 0), (7, 3, 0)}
