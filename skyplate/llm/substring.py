@@ -131,7 +131,7 @@ class FingerprintIndex:
     def compact(self) -> None:
         """All runs become one; the old ones are deleted."""
         last, self.live = self.runs - 1, 1
-        windows = self.windows().groupBy("fp", "h").agg(F.min("doc").alias("doc")).withColumns({"probe": F.lit(False), "place": F.lit(0).cast("bigint")})
+        windows = self.windows().groupBy("fp", "h").agg(F.min("doc").alias("doc")).withColumns({"probe": F.lit(False), "places": F.array().cast("array<bigint>")})
         for kind, rows, order in (("fingerprints", self.fingerprints().select("fp", "doc").distinct(), ["fp", "doc"]), ("windows", windows, ["fp", "h", "doc"])):
             old = self.tables.pop(kind)
             self._write(kind, rows, last, "fp", order)
@@ -142,7 +142,7 @@ class FingerprintIndex:
         return self.spark.table(self.tables["fingerprints"])
 
     def windows(self) -> DataFrame:
-        """fp, h, doc, probe, place, run."""
+        """fp, h, doc, probe, places, run."""
         return self.spark.table(self.tables["windows"])
 
     def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,7 +166,7 @@ class FingerprintIndex:
         # the smallest document so far of each window; a window of one fingerprint lies in one bucket, and is streamed
         so_far = Window.partitionBy("fp", "h").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         hits = self.windows().withColumn("first", F.min("doc").over(so_far)).where((F.col("run") == k) & F.col("probe") & (F.col("doc") > F.col("first")))
-        hits = materialize(hits.groupBy(F.col("doc").alias("id")).agg(F.collect_list("place").alias("hits")), "hits")
+        hits = materialize(hits.groupBy(F.col("doc").alias("id")).agg(F.flatten(F.collect_list("places")).alias("hits")), "hits")
         return texts.where(F.col("run") == k).select("id", "body"), hits
 
 
@@ -239,7 +239,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def windows_in(texts: DataFrame, candidates: DataFrame, kind: str) -> DataFrame:
-    """fp, h, doc, probe, place: the windows of each text (id, body) whose fingerprint is among the candidates (doc, own, fps); probe: it is in fps. Those that are not are distinct, without a place."""
+    """fp, h, doc, probe, places: the distinct windows of each text (id, body) whose fingerprint is among the candidates (doc, own, fps); probe: it is in fps; places: where they start, if so."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,16 +252,18 @@ def windows_in(texts: DataFrame, candidates: DataFrame, kind: str) -> DataFrame:
             for i, text, at, fp, h in candidate_windows(batch.column(1).to_pylist(), own_at + fps_at, wanted):
                 order = np.lexsort((h, fp))
                 at, fp, h = at[order], fp[order], h[order]
-                probe = np.isin(fp, fps[fps_at[i] : fps_at[i + 1]])
                 fresh = np.ones(len(fp), dtype=bool)
-                fresh[1:] = probe[1:] | (fp[1:] != fp[:-1]) | (h[1:] != h[:-1])
-                found.append((np.full(int(fresh.sum()), i), fp[fresh], h[fresh], probe[fresh], np.where(probe, at + text_tag(text), 0)[fresh]))
+                fresh[1:] = (fp[1:] != fp[:-1]) | (h[1:] != h[:-1])
+                probe = np.isin(fp, fps[fps_at[i] : fps_at[i + 1]])
+                size = np.diff(np.append(np.flatnonzero(fresh), len(fp)))
+                found.append((np.full(len(size), i), fp[fresh], h[fresh], probe[fresh], np.where(probe[fresh], size, 0), (at + text_tag(text))[probe]))
             if found:
-                of, fp, h, probe, place = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(h), batch.column(0).take(pa.array(of)), pa.array(probe), pa.array(place)], names=["fp", "h", "doc", "probe", "place"])
+                of, fp, h, probe, size, place = (np.concatenate(x) for x in zip(*found, strict=True))
+                places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(place))
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(h), batch.column(0).take(pa.array(of)), pa.array(probe), places], names=["fp", "h", "doc", "probe", "places"])
 
     rows = texts.join(candidates.withColumnRenamed("doc", "id"), "id").select("id", "body", "own", "fps")
-    return rows.mapInArrow(scan, f"fp bigint, h bigint, doc {kind}, probe boolean, place bigint")
+    return rows.mapInArrow(scan, f"fp bigint, h bigint, doc {kind}, probe boolean, places array<bigint>")
 
 
 def without(text: bytes, bad: np.ndarray) -> tuple[int, int, bytes]:
