@@ -1,14 +1,17 @@
 """Quality rules: rule statistics of each text, and isolation forests over them.
 
 Each rule statistic has a forest of its own, and one more has all of them together: random splits of rows drawn without
-regard to their labels, in which an anomalous value stands alone after a short path. Labels only calibrate the
-thresholds: a rule rejects what lies above its threshold, and a rule that tells bad rows from good ones by nothing has
-none. (A single forest over all statistics finds the rarest rows, which are rare in any of them, and not those that
+regard to their labels, in which an anomalous value stands alone after a short path. As the method has it, a tree splits
+a few rows only (256); they are drawn from all documents that pass the base rule, labelled or not. Labels only calibrate
+the thresholds, and all labelled rows count there: a score is a whole multiple of 1 / STEPS, so that the numbers of good
+and bad rows of each score are a table of bounded size. A rule rejects what lies above its threshold, and a rule that
+tells bad rows from good ones by nothing has none. (A single forest over all statistics finds the rarest rows, which are rare in any of them, and not those that
 labels call bad: at a loss of .2 % of the good rows it rejected 4 % of the bad.)
 
 Contract on edge cases: a null or empty text has zero for every statistic and fails the base rule; a null id
 passes through; repeated rows are judged one by one; an empty table gives an empty result; columns other than
-the id and the text are ignored, whatever their names. A very long text is measured whole, in memory in proportion to
+the id and the text are ignored, whatever their names; a repeated label counts once, with its largest value, and null
+labels and ids teach nothing. A very long text is measured whole, in memory in proportion to
 its length. Ties: a score that equals the threshold is kept; of rules that gain the same the first one counts.
 """
 
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, blobs, joined, pieces, sampled_ids, totals
+from .common import SPACE, blobs, joined, materialize, mixed, pieces, share_below, totals
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -142,15 +145,23 @@ class IsolationForest:
         return out
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, most_lost: float) -> float:
-    """Threshold that rejects most bad rows while it rejects at most a share most_lost of the good ones."""
-    if not len(score) or not good.any() or good.all():
-        return 1.0
-    least = float(np.quantile(score[good], 1 - most_lost, method="higher"))
-    cuts = np.unique(np.concatenate([[least], score[score >= least]]))
-    margin = (cuts + np.concatenate([cuts[1:], [1.0]])) / 2
-    gain = [(score[~good] > t).mean() - (score[good] > t).mean() for t in margin]
-    best = np.flatnonzero(np.asarray(gain) >= max(gain) - 1e-3)
+#: Scores that rules compare are rounded to whole multiples of 1 / STEPS.
+STEPS = 1 << 16
+
+
+def calibrate(steps: np.ndarray, good: np.ndarray, bad: np.ndarray, most_lost: float) -> float:
+    """Threshold that rejects most bad rows while it rejects at most a share most_lost of the good ones.
+
+    steps: the distinct scores, ascending; good, bad: how many rows have each.
+    """
+    if not good.sum() or not bad.sum():
+        return float(STEPS)
+    good_to, bad_to = np.cumsum(good), np.cumsum(bad)
+    least = int(np.searchsorted(good_to, np.ceil((1 - most_lost) * (good_to[-1] - 1)), side="right"))
+    cuts = steps[least:]
+    margin = (cuts + np.concatenate([cuts[1:], [STEPS]])) / 2
+    gain = (1 - bad_to / bad_to[-1] - (1 - good_to / good_to[-1]))[least:]
+    best = np.flatnonzero(gain >= gain.max() - 1e-3)
     return float(margin[best[len(best) // 2]])
 
 
@@ -159,76 +170,115 @@ FORESTS = (*((k,) for k in range(len(RATIOS))), tuple(range(len(RATIOS))))
 
 
 class QualityRules:
-    """Fits the forests and their thresholds on a bounded sample of labelled rows; applies them to every row.
+    """Fits the forests to all rows and their thresholds to all labelled rows; applies them to every row.
 
-    sample: about as many labelled rows are used, whatever their labels. most_lost: largest share of the rows labelled
-    good that all thresholds together may reject. least_gain: share of the rows labelled bad, less that of the good,
-    that a rule must reject beyond the others.
+    most_lost: largest share of the rows labelled good that all thresholds together may reject. least_gain: share of the
+    rows labelled bad, less that of the good, that a rule must reject beyond the others.
     """
 
-    def __init__(self, sample: int = 8000, most_lost: float = 0.002, least_gain: float = 0.01, seed: int = 7):
-        self.sample, self.most_lost, self.least_gain, self.seed = sample, most_lost, least_gain, seed
+    def __init__(self, most_lost: float = 0.002, least_gain: float = 0.01, seed: int = 7):
+        self.most_lost, self.least_gain, self.seed = most_lost, least_gain, seed
         self.rules: list[tuple[tuple[int, ...], IsolationForest, float]] = []
 
     def fit(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityRules:
-        ids = sampled_ids(labels, id_col, label_col, self.sample, self.seed, by_label=False)
-        rows = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-        got = rows.mapInArrow(_measured, "label int, stats array<bigint>").toPandas()
-        if len(got):
-            stats = np.stack(got["stats"].to_numpy())
-            keep = ~failed(stats)
-            x, good = ratios(stats)[keep], got["label"].to_numpy()[keep] == 1
-            order = np.lexsort(x.T)  # rows arrive in any order
-            self.calibrate(self.grow(x[order]), x, good)
+        return self.learn(materialize(measured(docs, id_col, text_col), "statistics"), labels, label_col)
+
+    def learn(self, stats: DataFrame, labels: DataFrame, label_col: str = "quality") -> QualityRules:
+        """fit, from the table of measured(). The id has the same name in both tables."""
+        id_col = stats.columns[0]
+        passed = stats.where((F.col("n_words") >= 50) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words")))
+        x = self.draw(passed)
+        if len(x):
+            label = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg((F.max(label_col) == 1).alias("_good"))
+            self.calibrate(self.grow(x[np.lexsort(x.T)]), passed.join(label, id_col).select("_good", *BASE, *MORE))  # rows arrive in any order
         return self
 
+    def draw(self, passed: DataFrame) -> np.ndarray:
+        """Ratios of as many rows as all trees of a forest draw, those whose hash is smallest."""
+        forest = IsolationForest()
+        most, key = forest.trees * forest.rows, mixed(F.struct(*passed.columns), self.seed)
+        few = passed.where(key <= share_below(2 * most, F.lit(passed.count()))).orderBy(key).limit(most)
+        return ratios(matrix(few.select(*BASE, *MORE).toArrow().columns))
+
     def grow(self, x: np.ndarray) -> list[IsolationForest]:
         """The forests, from rows without labels."""
         return [IsolationForest(seed=self.seed).fit(x[:, columns]) for columns in FORESTS]
 
-    def calibrate(self, forests: list[IsolationForest], x: np.ndarray, good: np.ndarray) -> None:
-        """Add the rule that gains most beyond those already there, as long as one gains enough."""
-        if not good.any() or good.all():
-            return
-        scores = [f.score(x[:, columns]) for f, columns in zip(forests, FORESTS, strict=True)]
-        out = np.zeros(len(x), dtype=bool)
+    def calibrate(self, forests: list[IsolationForest], rows: DataFrame) -> None:
+        """Add the rule that gains most beyond those already there, as long as one gains enough. rows: whether good, and the statistics."""
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = ratios(matrix(batch.columns[1:]))
+                steps = np.stack([rounded(f.score(x[:, columns])) for f, columns in zip(forests, FORESTS, strict=True)], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(steps), type=pa.list_(pa.int32()))], names=["good", "steps"])
+
+        left = materialize(rows.mapInArrow(scored, "good boolean, steps array<int>"), "scores")
+        n_good = n_bad = None
+        lost = 0.0
         while True:
-            best = (self.least_gain, None, 1.0)
-            for k, score in enumerate(scores):
-                spare = self.most_lost - (good & out).sum() / good.sum()
-                cut = calibrate(score[~out], good[~out], max(spare, 0.0))
-                more = (score > cut) & ~out
-                gain = more[~good].sum() / (~good).sum() - more[good].sum() / good.sum()
-                best = max(best, (gain, k, cut), key=lambda b: b[0])
-            if best[1] is None:
+            found = left.select("good", F.posexplode("steps").alias("k", "step")).groupBy("k", "step").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+            k, step, good, bad = (c.to_numpy() for c in found.orderBy("k", "step").toArrow().columns)  # at most STEPS + 1 of each forest
+            if n_good is None:
+                n_good, n_bad = good[k == 0].sum(), bad[k == 0].sum()
+            if not n_good or not n_bad:
+                return
+            best = (self.least_gain, None, 1.0, 0.0)
+            for i in range(len(FORESTS)):
+                own = k == i
+                if own.any():
+                    cut = calibrate(step[own], good[own], bad[own], max(self.most_lost - lost, 0.0))
+                    above = own & (step > cut)
+                    more = good[above].sum() / n_good
+                    best = max(best, (bad[above].sum() / n_bad - more, i, cut, more), key=lambda b: b[0])
+            _, i, cut, more = best
+            if i is None:
                 return
-            self.rules.append((FORESTS[best[1]], forests[best[1]], best[2]))
-            out |= scores[best[1]] > best[2]
+            self.rules.append((FORESTS[i], forests[i], cut / STEPS))
+            left, lost = left.where(F.col("steps")[i] <= cut), lost + more
 
     def anomaly(self, x: np.ndarray) -> np.ndarray:
         """The furthest that any rule's score lies above its threshold; above 0 a row is rejected."""
-        return np.max([f.score(x[:, columns]) - cut for columns, f, cut in self.rules], axis=0) if self.rules else np.full(len(x), -1.0)
+        return np.max([rounded(f.score(x[:, columns])) / STEPS - cut for columns, f, cut in self.rules], axis=0) if self.rules else np.full(len(x), -1.0)
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        model, kind = self, docs.schema[id_col].dataType.simpleString()
+        return self.judge(measured(docs, id_col, text_col))
+
+    def judge(self, stats: DataFrame) -> DataFrame:
+        """apply, from the table of measured()."""
+        model, id_col = self, stats.columns[0]
 
-        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                stats = statistics(blobs(batch.column(1)))
+                stats = matrix(batch.columns[1:])
                 bad = failed(stats)
                 score = model.anomaly(ratios(stats))
-                columns = [batch.column(0), *(pa.array(stats[:, k]) for k in range(len(BASE))), pa.array(bad), pa.array(score), pa.array(~bad & (score <= 0))]
+                columns = [*batch.columns[: len(BASE) + 1], pa.array(bad), pa.array(score), pa.array(~bad & (score <= 0))]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, *BASE, "base_failed", "anomaly", "kept"])
 
-        schema = f"`{id_col}` {kind}, " + ", ".join(f"{c} bigint" for c in BASE) + ", base_failed boolean, anomaly double, kept boolean"
-        return docs.select(id_col, text_col).mapInArrow(judge, schema)
+        schema = f"`{id_col}` {stats.schema[0].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in BASE) + ", base_failed boolean, anomaly double, kept boolean"
+        return stats.mapInArrow(judged, schema)
+
+
+def rounded(score: np.ndarray) -> np.ndarray:
+    return np.rint(score * STEPS).astype(np.int32)
+
+
+def matrix(columns: list) -> np.ndarray:
+    return np.stack([c.to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.to_numpy() for c in columns], axis=1)
 
 
 def failed(stats: np.ndarray) -> np.ndarray:
     return (stats[:, 0] < 50) | (100 * stats[:, 4] > 50 * stats[:, 0])
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        stats = statistics(blobs(batch.column(1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(stats), type=pa.list_(pa.int64()))], names=["label", "stats"])
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, and a column for each statistic."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stats = statistics(blobs(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in stats.T)], names=[id_col, *BASE, *MORE])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(measure, f"`{id_col}` {kind}, " + ", ".join(f"{c} bigint" for c in BASE + MORE))

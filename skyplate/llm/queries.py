@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, html_text, pii, sentencepiece, simhash, substring
-from .common import fold, table
+from .common import fold, materialize, table
 from .language_id import LanguageId
 from .line_crf import LineCrf
-from .quality_rules import QualityRules
+from .quality_rules import QualityRules, measured
 from .toxicity import Toxicity
 
 
@@ -25,8 +25,8 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return QualityRules().fit(docs, table(spark, sf_dir, "labels")).apply(docs)
+    stats = materialize(measured(table(spark, sf_dir, "documents")), "statistics")
+    return QualityRules().learn(stats, table(spark, sf_dir, "labels")).judge(stats)
 
 
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyplate.llm import language_id, line_crf, quality_rules, queries, toxicity
-from skyplate.llm.common import sampled_ids
+from skyplate.llm.common import mixed, sampled_ids
 from skyplate.llm.language_id import KneserNey, LanguageId, codes, hashes, letters
 from skyplate.llm.line_crf import LineCrf
 from skyplate.llm.quality_rules import QualityRules
@@ -109,6 +109,43 @@ def test_rules_on_edge_cases(spark, edge, empty, labels):
     assert QualityRules().fit(empty, labels.limit(0)).apply(empty).count() == 0
 
 
+def marked_tables(spark, n, labelled):
+    """Texts of 60 words; every tenth is bad and has 25 symbols or more. A good one has less than 15; but, among the
+    half of the rows with the larger hash, one in fifty has 30."""
+    rnd = random.Random(11)
+    order = spark.range(n).select("id", mixed(F.col("id"), QualityRules().seed).alias("h")).toPandas().set_index("id").h.rank()
+    rows = []
+    for i in range(n):
+        bad = i % 10 == 0
+        symbols = rnd.randrange(25, 60) if bad else 30 if order[i] > n / 2 and rnd.random() < 0.02 else rnd.randrange(15)
+        rows.append((i, " ".join(["#" * symbols + "ab"] + [rnd.choice(["river", "stone", "cloud"]) + str(rnd.randrange(1000)) for _ in range(59)]), int(not bad)))
+    df = pd.DataFrame(rows, columns=["doc_id", "text", "quality"])
+    return spark.createDataFrame(df[["doc_id", "text"]]).repartition(8), spark.createDataFrame(df[["doc_id", "quality"]][:labelled]), df
+
+
+def test_thresholds_come_from_all_labelled_rows(spark):
+    docs, labels, df = marked_tables(spark, 20_000, 20_000)
+    model = QualityRules().fit(docs, labels)
+    kept = model.apply(docs).toPandas().set_index("doc_id").kept.sort_index()
+    assert (~kept[df.quality == 1]).mean() <= 0.002
+    columns, forest, cut = model.rules[0]
+    score = np.rint(forest.score(quality_rules.ratios(quality_rules.statistics([t.encode() for t in df.text]))[:, columns]) * 2**16) / 2**16
+    good = (df.quality == 1).to_numpy()
+    cuts = np.unique(score[score >= np.quantile(score[good], 0.998, method="higher")])
+    margin = (cuts + np.concatenate([cuts[1:], [1.0]])) / 2
+    gain = np.array([(score[~good] > t).mean() - (score[good] > t).mean() for t in margin])
+    best = np.flatnonzero(gain >= gain.max() - 1e-3)
+    assert cut == pytest.approx(margin[best[len(best) // 2]])
+
+
+def test_forests_draw_from_rows_without_labels(spark):
+    docs, labels, _ = marked_tables(spark, 400, 40)
+    model, drawn = QualityRules(), []
+    model.grow = lambda x, grow=model.grow: drawn.append(len(x)) or grow(x)
+    model.fit(docs, labels)
+    assert drawn == [400]
+
+
 # ---- line field
 
 
