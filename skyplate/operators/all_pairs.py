@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyplate.functions.ratio import PROCEDURE, polynomial
+from skyplate.session import tasks
 
 from .pairwise import LAT_BANDS, LEAST_PIXELS, MOST_LON, WEIGHTED
 
@@ -307,10 +308,6 @@ def _join_sum(rows: list[dict]) -> list[float]:
     return list(np.sum([r["head"] for r in rows], axis=0))
 
 
-def _parallel(df: DataFrame) -> int:
-    return 4 * df.sparkSession.sparkContext.defaultParallelism
-
-
 def _charts(gcps: DataFrame, by: str, key: str) -> DataFrame:
     """One row per chart: arrays of its points by key, and the number of its units."""
     rows = gcps.where(F.col(key).isNotNull() & F.col(by).isNotNull()).withColumns({"_k": F.col(key).cast("string"), "target": polynomial(F.col("airport_lat"), PROCEDURE)})
@@ -348,7 +345,7 @@ def _step(charts: DataFrame, by: str, unit_of: Callable, join: Callable, state:
         out = [x for _, part in found.groupby("series") for x in join(part.to_dict("records"))]
         return pd.DataFrame({by: [found[by].iloc[0]], "state": [np.asarray(out, dtype=float)]})
 
-    dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit")).repartition(_parallel(charts))
+    dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit")).repartition(tasks(charts))
     return dealt.mapInArrow(measure, f"`{by}` {kind}, {_UNIT_SCHEMA}").groupBy(by).applyInPandas(merge, f"`{by}` {kind}, state array<double>")
 
 

@@ -3,10 +3,13 @@ cells its range covers, and the exact predicate follows. No nested-loop join and
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyplate.functions import geo
+from skyplate.session import tasks
 
 
 def _cell(c: Column, size: float) -> Column:
@@ -51,16 +54,70 @@ def away_from(left: DataFrame, right: DataFrame, by: list[str], key: str, radius
     return left.join(near, [*by, key], "left_anti")
 
 
-def in_box(airports: DataFrame, features: DataFrame, nm: float, lat: str = "lat", lon: str = "lon", f_lat: str = "f_lat", f_lon: str = "f_lon") -> DataFrame:
-    """Airports with the features in the box of ± nm nautical miles in latitude and the same width in longitude."""
+def _box_cells(airports: DataFrame, features: DataFrame, nm: float, lat: str, lon: str, f_lat: str, f_lon: str) -> tuple[DataFrame, DataFrame]:
+    """Airports with their own cell (_cy, _cx), so that all pairs of one are found in one place, and features copied to the cells from which a box can reach them.
+
+    A cell is half a box high, and as wide as half a box is at its edge nearest a pole; near the poles a band is one cell.
+    """
     size = geo.radius_lat(nm)
-    r_lon = geo.radius_lon(nm, F.col(lat))
-    a = airports.withColumns({"_lo": F.col(lon) - r_lon, "_hi": F.col(lon) + r_lon})
-    a = a.withColumn("_cy", _span(F.col(lat) - size, F.col(lat) + size, size)).withColumn("_cx", _span(F.col("_lo"), F.col("_hi"), 2 * size))
-    b = features.withColumns({"_cy": _cell(F.col(f_lat), size), "_cx": _cell(F.col(f_lon), 2 * size)})
-    pairs = a.join(b, ["_cx", "_cy"])
-    inside = F.col(f_lat).between(F.col(lat) - size, F.col(lat) + size) & F.col(f_lon).between(F.col("_lo"), F.col("_hi"))
-    return pairs.where(inside).drop("_cx", "_cy", "_lo", "_hi")
+    high, more = size / 2, 1 + 1e-9  # more: for rounding at a cell's edge
+    band = F.col("_cy")
+    far = F.greatest(F.abs(band), F.abs(band + 1)) * F.lit(high)
+    wide = F.when(far < 89, F.lit(size) / F.cos(F.radians(far)))
+
+    def at(x: Column) -> Column:
+        return F.when(x.isNotNull(), F.coalesce(F.floor(x / F.col("_w")), F.lit(0)))
+
+    a = airports.withColumn("_cy", _cell(F.col(lat), high)).withColumn("_w", wide).withColumn("_cx", at(F.col(lon))).drop("_w")
+    b = features.withColumn("_cy", _span(F.col(f_lat) - size * more, F.col(f_lat) + size * more, high)).withColumn("_w", wide)
+    reach = F.coalesce(F.col("_w") * more, F.lit(0.0))
+    b = b.withColumn("_cx", F.explode(F.sequence(at(F.col(f_lon) - reach), at(F.col(f_lon) + reach)))).drop("_w")
+    return a, b
+
+
+def in_box(airports: DataFrame, features: DataFrame, nm: float, lat: str = "lat", lon: str = "lon", f_lat: str = "f_lat", f_lon: str = "f_lon", by: tuple[str, ...] = ()) -> DataFrame:
+    """Airports with the features, of the same `by`, in the box of ± nm nautical miles in latitude and the same width in longitude."""
+    size, r_lon, n = geo.radius_lat(nm), geo.radius_lon(nm, F.col(lat)), tasks(airports)
+    keys = [*by, "_cy", "_cx"]
+    a, b = (side.repartition(n, *keys) for side in _box_cells(airports, features, nm, lat, lon, f_lat, f_lon))
+    inside = F.col(f_lat).between(F.col(lat) - size, F.col(lat) + size) & F.col(f_lon).between(F.col(lon) - r_lon, F.col(lon) + r_lon)
+    return a.join(b, keys).where(inside).drop("_cy", "_cx")
+
+
+def nearest_in_box(airports: DataFrame, features: DataFrame, nm: float, key: str, other: str, group: str) -> DataFrame:
+    """For each airport and group of features in its box (key, group) the nearest one's `other`; of equally near ones the westernmost, at the same place the largest. lat, lon, f_lat, f_lon as in in_box.
+
+    The pairs of a cell are measured by numpy, an airport at a time, without rows: an aggregate by distance and `other` would have to sort them.
+    """
+    size, n = geo.radius_lat(nm), tasks(airports)
+    a, b = _box_cells(airports.select(key, "lat", "lon", geo.radius_lon(nm, F.col("lat")).alias("r")), features.select(other, group, "f_lat", "f_lon"), nm, "lat", "lon", "f_lat", "f_lon")
+    a, b = (side.where(F.col(column).isNotNull()).repartition(n, "_cy", "_cx").groupBy("_cy", "_cx") for side, column in ((a, key), (b, other)))
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for df, c in ((airports, key), (features, group), (features, other))]
+
+    def of_cell(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        names = [key, group, other, "_dist", "_lon"]
+        two = two.sort_values([group, "f_lon", other], ascending=[True, True, False])
+        if one.empty or two.empty:
+            return pd.DataFrame({c: [] for c in names})
+        los, las, who, groups = (two[c].to_numpy() for c in ("f_lon", "f_lat", other, group))
+        found = []
+        for k, y, x, r in zip(one[key], one["lat"], one["lon"], one["r"], strict=True):
+            hit = np.flatnonzero((las >= y - size) & (las <= y + size) & (los >= x - r) & (los <= x + r))
+            if not len(hit):
+                continue
+            g, dy, dx = groups[hit], y - las[hit], x - los[hit]
+            dist = np.sqrt(dy * dy + dx * dx)
+            starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            least = np.minimum.reduceat(dist, starts)
+            at = np.flatnonzero(dist == np.repeat(least, np.diff(np.append(starts, len(g)))))
+            first = at[np.searchsorted(at, starts)]
+            found.append((np.full(len(first), k), g[first], who[hit][first], least, los[hit][first]))
+        if not found:
+            return pd.DataFrame({c: [] for c in names})
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(names, zip(*found, strict=True), strict=True)})
+
+    best = a.cogroup(b).applyInPandas(of_cell, ", ".join(kinds) + ", _dist double, _lon double")
+    return best.groupBy(key, group).agg(F.max(F.struct((-F.col("_dist")).alias("d"), (-F.col("_lon")).alias("l"), other)).alias("_m")).select(key, group, F.col(f"_m.{other}").alias(other))
 
 
 def nearest_line(boxes: DataFrame, lines: DataFrame, by: list[str], box: str, line: str, vertical: bool, radius: float = 70.0) -> DataFrame:

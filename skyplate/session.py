@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -23,3 +23,8 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     return builder.config(map=settings | conf).getOrCreate()
+
+
+def tasks(df: DataFrame) -> int:
+    """Tasks that work is dealt over whose rows are few and whose pairs are many: adaptive execution, which goes by bytes, would put it into one."""
+    return 4 * df.sparkSession.sparkContext.defaultParallelism
