@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyplate.functions.casts import true_number
 from skyplate.functions.ratio import PROCEDURE, polynomial, procedure_status
-from skyplate.operators.aggregate import single
 from skyplate.operators.all_pairs import SERIES, medians
 from skyplate.operators.match import away_from, in_box, mutual_nearest, same_type_if, within
 
@@ -20,13 +19,24 @@ MARK_RADIUS = 30.0
 RADII = {"obstacle": 20.0, "fix": 50.0, "gps": 40.0, "navaid": 30.0}
 
 
-def obstacles(airports: DataFrame, db: DataFrame, heights: DataFrame, nearest_if_many: bool = False) -> DataFrame:
-    """Obstacles over 200 feet near a chart's airport whose height the chart shows: those alone with their height, or the nearest of each height."""
-    near = in_box(airports, db.where("agl > 200"), RADII["obstacle"]).join(heights, ["pdf_name", "height"])
+def obstacles(airports: DataFrame, db: DataFrame, heights: DataFrame, group: str = "pdf_name", nearest_if_many: bool = False, tie: tuple[Column, ...] = ()) -> DataFrame:
+    """Obstacles over 200 feet near a chart's airport whose height the chart shows: those alone with their height, or the nearest of each height, of equally near ones the northernmost, or the first by `tie`.
+
+    heights: group, height; the charts of a group (a column of airports) show the same heights. Heights are matched within
+    the cells of the grid, before there are pairs: as a key where each chart has its own, else as a list of each height's groups.
+    """
+    high = db.where("agl > 200")
+    if group == "pdf_name":
+        near = in_box(airports.join(heights.distinct(), group), high, RADII["obstacle"], by=("height",))
+    else:
+        shown = heights.groupBy("height").agg(F.collect_set(group).alias("_shown"))
+        near = in_box(airports, high.join(shown, "height"), RADII["obstacle"]).where(F.array_contains("_shown", F.col(group))).drop("_shown")
     if not nearest_if_many:
-        return single(near, ["pdf_name", "height"])
+        rest = [c for c in near.columns if c not in ("pdf_name", "height")]
+        alone = near.groupBy("pdf_name", "height").agg(F.count(F.lit(1)).alias("_n"), *(F.first(c).alias(c) for c in rest))
+        return alone.where("_n = 1").drop("_n")
     dist = F.sqrt(F.pow(F.col("lat") - F.col("f_lat"), 2) + F.pow(F.col("lon") - F.col("f_lon"), 2))
-    best = near.withColumn("dist", dist).groupBy("pdf_name", "height").agg(F.min_by(F.struct(*near.columns), F.struct("dist", (-F.col("f_lat")).alias("t"))).alias("_r"))
+    best = near.withColumn("dist", dist).groupBy("pdf_name", "height").agg(F.min_by(F.struct(*near.columns), F.struct("dist", *(tie or [(-F.col("f_lat")).alias("t")]))).alias("_r"))
     return best.select("_r.*")
 
 

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from skyplate.operators import match
+from skyplate.plans import georeference
 
 
 def places(spark, n=80, spread=6.0):
@@ -39,3 +40,15 @@ def test_nearest_in_box_of_equally_near_ones_is_the_westernmost(spark):
     features = spark.createDataFrame([(5, 7, 40.0, -99.5), (9, 7, 40.0, -100.5), (4, 7, 40.0, -100.5), (3, 8, 40.0, -99.0), (2, 8, 40.0, -98.0), (6, 7, 80.0, -90.0), (8, None, 40.0, -90.0)], "feat int, h int, f_lat double, f_lon double")
     got = {tuple(r) for r in match.nearest_in_box(airports, features.where("h is not null"), 150.0, "apt", "feat", "h").collect()}
     assert got == {(1, 7, 9), (1, 8, 3)}
+
+
+def test_obstacles_by_group_equal_those_by_chart_and_make_no_list_of_charts(spark):
+    rnd = random.Random(3)
+    airports = spark.createDataFrame([(i, 40 + rnd.uniform(-1, 1), -100 + rnd.uniform(-1, 1), i % 3) for i in range(40)], "pdf_name int, lat double, lon double, r int")
+    db = spark.createDataFrame([(i, 201 + rnd.randrange(30), 40 + rnd.uniform(-1, 1), -100 + rnd.uniform(-1, 1)) for i in range(200)], "feat int, height int, f_lat double, f_lon double").withColumn("agl", F.col("height"))
+    shown = db.select((F.col("feat") % 3).alias("r"), "height").distinct()
+    own = airports.select("pdf_name", "r").join(shown, "r").drop("r")
+    for nearest in (False, True):
+        a = {(r.pdf_name, r.height, r.feat) for r in georeference.obstacles(airports, db, shown, "r", nearest_if_many=nearest).collect()}
+        b = {(r.pdf_name, r.height, r.feat) for r in georeference.obstacles(airports, db, own, nearest_if_many=nearest).collect()}
+        assert a == b and a
