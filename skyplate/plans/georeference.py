@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from skyplate.functions.casts import true_number
 from skyplate.functions.ratio import PROCEDURE, polynomial, procedure_status
 from skyplate.operators.all_pairs import SERIES, medians
-from skyplate.operators.match import away_from, in_box, mutual_nearest, same_type_if, within
+from skyplate.operators.match import away_from, in_box, same_type_if
+from skyplate.operators.nearest import nearest_within
 
 #: Points on the page: how far an icon and its text box may be apart, and how near a not-to-scale mark disqualifies.
 MATCH_RADIUS = 115.0
@@ -46,8 +47,7 @@ def match_icons(icons: DataFrame, boxes: DataFrame, db: DataFrame, marks: DataFr
     icons: pdf_name, icon_id, icon_type, ix, iy. boxes: pdf_name, box_id, text, bx, by_. db: pdf_name, text, db_type, lat, lon. marks: pdf_name, mx, my.
     """
     kept = away_from(icons, marks, ["pdf_name"], "icon_id", MARK_RADIUS, ("ix", "iy"), ("mx", "my"))
-    pairs = within(kept, boxes, ["pdf_name"], radius, ("ix", "iy"), ("bx", "by_"))
-    found = mutual_nearest(pairs, ["pdf_name"], "icon_id", "box_id").join(db, ["pdf_name", "text"])
+    found = nearest_within(kept, boxes, ["pdf_name"], "icon_id", "box_id", radius, ("ix", "iy"), ("bx", "by_"), mutual=True).join(db, ["pdf_name", "text"])
     return found.where(same_type_if(F.col("icon_type"), F.col("db_type")) & true_number(F.col("ix")) & true_number(F.col("iy")) & true_number(F.col("lat")) & true_number(F.col("lon")))
 
 
