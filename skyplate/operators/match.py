@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from skyplate.functions import geo
 from skyplate.session import tasks
 
+from .nearest import nearest_within
+
+#: Parts that the lines of a chart are dealt into.
+SHARES = 16
+
 
 def _cell(c: Column, size: float) -> Column:
     return F.floor(c / F.lit(size))
@@ -123,13 +128,12 @@ def nearest_in_box(airports: DataFrame, features: DataFrame, nm: float, key: str
 def nearest_line(boxes: DataFrame, lines: DataFrame, by: list[str], box: str, line: str, vertical: bool, radius: float = 70.0) -> DataFrame:
     """For each box (bx, by_) the line of the wanted orientation whose nearer endpoint is closest, within the radius.
 
-    lines: x1, y1, x2, y2, slope (0 to 179). Both endpoints enter the grid, so that each pair is found by the nearer one.
+    lines: x1, y1, x2, y2, slope (0 to 179). Both endpoints enter, so that each pair is found by the nearer one.
     """
     wanted = F.col("slope").between(88, 92) if vertical else (F.col("slope") <= 2) | (F.col("slope") >= 178)
     ends = F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))
     ends = lines.where(wanted).select(*by, line, ends.alias("_e")).select(*by, line, F.col("_e.x").alias("ex"), F.col("_e.y").alias("ey"))
-    pairs = within(boxes, ends, by, radius, ("bx", "by_"), ("ex", "ey")).drop("ex", "ey")
-    return nearest(pairs, by, box, line)
+    return nearest_within(boxes, ends, by, box, line, radius, ("bx", "by_"), ("ex", "ey")).drop("ex", "ey")
 
 
 def in_band(left: DataFrame, right: DataFrame, by: list[str], a: str, b: str, width: float) -> DataFrame:
@@ -158,8 +162,14 @@ def same_heading(icons: DataFrame, runways: DataFrame, by: list[str], heading: s
 
 
 def cross_lines(lat_lines: DataFrame, lon_lines: DataFrame, by: list[str]) -> DataFrame:
-    """Intersections of each latitude line (a*) with each longitude line (b*) of the same chart, within the page (width, height)."""
-    pairs = lat_lines.join(lon_lines, by)
+    """Intersections of each latitude line (a*) with each longitude line (b*) of the same chart, within the page (width, height).
+
+    A chart's latitude lines are dealt into SHARES, each with a copy of its longitude lines, so that no task holds all pairs of a chart.
+    """
+    n, keys = tasks(lat_lines), [*by, "_s"]
+    a = lat_lines.withColumn("_s", F.pmod(F.xxhash64(*lat_lines.columns), F.lit(SHARES)).cast("int")).repartition(n, *keys)
+    b = lon_lines.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).repartition(n, *keys)
+    pairs = a.join(b, keys).drop("_s")
     at = geo.intersection(*(F.col(c) for c in ("ax1", "ay1", "ax2", "ay2", "bx1", "by1", "bx2", "by2")))
     pairs = pairs.withColumn("_p", at).withColumns({"x": F.col("_p.x"), "y": F.col("_p.y")}).drop("_p")
     return pairs.where(geo.in_page(F.col("x"), F.col("y"), F.col("width"), F.col("height")))
