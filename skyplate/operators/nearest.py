@@ -36,10 +36,10 @@ def _place(table: pa.Table, names: tuple[str, str]) -> list[np.ndarray]:
 
 
 class Side:
-    """One side's rows in the order in which equally near ones win: by group, then its keys' text from the last on."""
+    """One side's rows in the order in which equally near ones win: by group, then its keys' text from the last on, and where a key repeats by place."""
 
     def __init__(self, table: pa.Table, group: np.ndarray, key: str, xy: tuple[str, str], text: str):
-        by = pc.sort_indices(pa.table({"g": group, "t": table[text].combine_chunks()}), sort_keys=[("g", "ascending"), ("t", "descending")]).to_numpy()
+        by = pc.sort_indices(pa.table({"g": group, "t": table[text].combine_chunks(), "x": table[xy[0]], "y": table[xy[1]]}), sort_keys=[("g", "ascending"), ("t", "descending"), ("x", "ascending"), ("y", "ascending")]).to_numpy()
         self.table, self.group = table.take(pa.array(by)), group[by]
         self.x, self.y = _place(self.table, xy)
         n = len(by)

@@ -35,3 +35,12 @@ def test_nearest_line_and_crossings_make_no_row_of_a_pair_of_an_undealt_chart(sp
     crossings = match.cross_lines(a, b, ["page"])
     assert crossings.count() == 2500
     assert crossings.rdd.glom().map(len).max() < 1500
+
+
+def test_a_repeated_key_takes_its_westernmost_place_of_those_equally_near(spark):
+    right = spark.createDataFrame([("p", 1, 0.0, 0.0)], "page string, b int, u double, v double")
+    for rows in ([("p", 7, 3.0, 4.0), ("p", 7, -3.0, 4.0), ("p", 7, 4.0, -3.0)], [("p", 7, -3.0, 4.0), ("p", 7, 4.0, -3.0), ("p", 7, 3.0, 4.0)]):
+        left = spark.createDataFrame(rows, "page string, a int, x double, y double")
+        for mutual in (False, True):
+            got = nearest.nearest_within(left, right, ["page"], "a", "b", 9.0, ("x", "y"), ("u", "v"), mutual).collect()
+            assert [(r.x, r.y, r.b) for r in got] == [(-3.0, 4.0, 1)]
